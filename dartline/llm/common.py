@@ -185,3 +185,27 @@ def batched(rows: Iterator[dict], schema, size: int, most: int = 8 << 20) -> Ite
             held, weight = [], 0
     if held:
         yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
+def row_slices(batches: Iterator, most: int = 1 << 21) -> Iterator[dict[str, list]]:
+    """Arrow batches as column lists whose `text` values hold about `most` characters together, or one row."""
+    for batch in batches:
+        columns = batch.to_pydict()
+        texts, start, held = columns["text"], 0, 0
+        for i, text in enumerate(texts):
+            held += len(text or "")
+            if held >= most or i + 1 == len(texts):
+                yield {c: v[start : i + 1] for c, v in columns.items()}
+                start, held = i + 1, 0
+
+
+#: Words without ASCII punctuation: A-Z lower-cased, and all but letters, digits and non-ASCII bytes a space.
+PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(PLAIN).split() if text else []
+
+
+def segment_ids(lengths: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(lengths)), lengths)

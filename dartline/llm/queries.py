@@ -1,10 +1,11 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from dartline.llm import mixing, sharding
+from dartline.llm import mixing, sharding, toxicity
 
 QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op6_mixing": mixing.op6_mixing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE_SQL = {
     "op6_mixing": mixing.OP6_SQL,
