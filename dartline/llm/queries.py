@@ -1,10 +1,14 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from dartline.llm import mixing, sharding, toxicity
+from dartline.llm import langid, licenses, media, mixing, sharding, tokencount, toxicity
 
 QUERIES = {
+    "op2_language_id": langid.op2_language_id,
+    "op3_media_columns": media.op3_media_columns,
     "op4_sharding": sharding.op4_sharding,
     "op6_mixing": mixing.op6_mixing,
+    "op7_token_counts": tokencount.op7_token_counts,
+    "op9_license_scan": licenses.op9_license_scan,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE_SQL = {
