@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from dartline.llm import langid, licenses, media, mixing, sharding, tokencount, toxicity
+from dartline.llm import decontaminate, langid, licenses, media, mixing, sharding, tokencount, toxicity
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op6_mixing": mixing.op6_mixing,
     "op7_token_counts": tokencount.op7_token_counts,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_toxicity": toxicity.op10_toxicity,
 }
