@@ -21,9 +21,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dartline.llm.common import WordHashes, crc_fold, grouped, mix, plain_words, row_slices, table
+from dartline.llm.common import WordHashes, crc_fold, grouped, mix, plain_words, row_slices, segment_ids, table
 
-SAMPLE = 2500
+SAMPLE = 2000
 DISCOUNT = 0.75
 PASSAGES = (1, 4, 16)
 #: Two orders, each over the whole text and its best passages; length; 1.
@@ -62,49 +62,42 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class TwoModels:
     """Both classes' models over one table of words and one of bigrams."""
 
-    def __init__(self, flat: list[np.ndarray], lengths: list[np.ndarray]):
-        with np.errstate(over="ignore"):
-            sides = [pairs(f, n) for f, n in zip(flat, lengths, strict=True)]
-        self.bigrams, first = np.unique(np.concatenate([p for _, p in sides]), return_index=True)
-        before, word = np.concatenate([b for b, _ in sides])[first], np.concatenate(flat)[first]
-        self.words = np.unique(np.concatenate([before, word]))
-        b, w, size = np.searchsorted(self.words, before), np.searchsorted(self.words, word), len(self.words)
-        conts = [np.bincount(w[np.isin(self.bigrams, p)], minlength=size) for _, p in sides]
+    def __init__(self, words: np.ndarray, bigrams: np.ndarray, before: np.ndarray, word: np.ndarray, counts: list[np.ndarray]):
+        """before, word: places in words of each bigram's two; counts: of each bigram in either class."""
+        self.words, self.bigrams, size = words, bigrams, len(words)
+        conts = [np.bincount(word[c > 0], minlength=size) for c in counts]
         types = sum((c > 0).astype(np.int64) for c in conts)  # in how many classes a word is known
         shared = (types + 0.5) / (types.sum() + 0.5 * (size + 1))
-        self.unseen_shared = 0.5 / (types.sum() + 0.5 * (size + 1))
         self.held, self.rest, self.lower, self.unseen = [], [], [], []
-        for (_, p), cont in zip(sides, conts, strict=True):
-            count = np.bincount(np.searchsorted(self.bigrams, p), minlength=len(self.bigrams))
-            seen = count > 0
-            total = np.bincount(b, weights=count, minlength=size)
-            follow = np.bincount(b[seen], minlength=size)
+        for count, cont in zip(counts, conts, strict=True):
+            total = np.bincount(before, weights=count, minlength=size)
+            follow = np.bincount(before[count > 0], minlength=size)
             kinds = max(int(cont.sum()), 1)
             free = DISCOUNT * int((cont > 0).sum()) / kinds if cont.sum() else 1.0
             self.lower.append((np.maximum(cont - DISCOUNT, 0) / kinds + free * shared).astype(np.float32))
-            self.unseen.append(free * self.unseen_shared)
-            self.held.append((np.maximum(count - DISCOUNT, 0) / np.maximum(total[b], 1)).astype(np.float32))
+            self.unseen.append(free * 0.5 / (types.sum() + 0.5 * (size + 1)))
+            self.held.append((np.maximum(count - DISCOUNT, 0) / np.maximum(total[before], 1)).astype(np.float32))
             self.rest.append(np.where(total > 0, DISCOUNT * follow / np.maximum(total, 1), 1.0).astype(np.float32))
 
     def ratios(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log p(word | before, toxic) - log p(word | before, ordinary) of each word; the same without `before`."""
-        before, pair = pairs(flat, lengths)
+        _, pair = pairs(flat, lengths)
         at_w, in_w = find(self.words, flat)
         at_b = np.empty_like(at_w)
         in_b = np.empty_like(in_w)
         at_b[1:], in_b[1:] = at_w[:-1], in_w[:-1]
         starts = (np.cumsum(lengths) - lengths)[lengths > 0]
         at_b[starts], in_b[starts] = [x[0] for x in find(self.words, np.array([START]))]
-        both = in_w & in_b
-        at_p, in_p = np.zeros(len(flat), np.int64), np.zeros(len(flat), bool)
-        at_p[both], in_p[both] = find(self.bigrams, pair[both])
+        both = np.flatnonzero(in_w & in_b)
+        at_p, in_p = find(self.bigrams, pair[both])
+        at_p, both = at_p[in_p], both[in_p]
         logs, lows = [], []
         for k in (0, 1):
-            lower = np.where(in_w, self.lower[k][at_w], self.unseen[k])
-            p = np.where(in_b, self.rest[k][at_b], 1.0) * lower
-            p[in_p] += self.held[k][at_p[in_p]]
-            logs.append(np.log(p))
-            lows.append(np.log(lower))
+            lower = np.where(in_w, self.lower[k][at_w], np.float32(self.unseen[k]))
+            p = np.where(in_b, self.rest[k][at_b], np.float32(1)) * lower
+            p[both] += self.held[k][at_p]
+            logs.append(np.log(p, dtype=np.float64))
+            lows.append(np.log(lower, dtype=np.float64))
         return logs[1] - logs[0], lows[1] - lows[0]
 
     def features(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -148,16 +141,18 @@ def fit(rows: list[dict], counts: tuple[int, int]) -> dict:
     base = counts[1] / max(sum(counts), 1)
     if not len(rows) or label.min() == label.max():
         return {"base": base}
-    hashes = WordHashes()
-    parts = [hashed([r["text"]], hashes) for r in rows]
-
-    def join(keep):
-        own = [p for p, k in zip(parts, keep, strict=True) if k]
-        return (np.concatenate([f for f, _ in own]) if own else np.zeros(0, np.uint64)), (np.concatenate([n for _, n in own]) if own else np.zeros(0, np.int64))
+    flat, lengths = hashed([r["text"] for r in rows], WordHashes())
+    if not len(flat):
+        return {"base": base}
+    before, pair = pairs(flat, lengths)
+    bigrams, first, ids = np.unique(pair, return_index=True, return_inverse=True)
+    words = np.unique(np.concatenate([flat, [START]]))
+    place = np.searchsorted(words, before[first]), np.searchsorted(words, flat[first])
+    del before, pair, first
+    of_token = segment_ids(lengths)
 
     def train(keep):
-        sides = [join(keep & (label == k)) for k in (0, 1)]
-        return TwoModels([s[0] for s in sides], [s[1] for s in sides])
+        return TwoModels(words, bigrams, *place, [np.bincount(ids[(keep & (label == k))[of_token]], minlength=len(bigrams)) for k in (0, 1)])
 
     rank = np.empty(len(rows), np.int64)
     for k in (0, 1):
@@ -166,7 +161,7 @@ def fit(rows: list[dict], counts: tuple[int, int]) -> dict:
     for k in range(FOLDS):
         own = rank % FOLDS == k
         if own.any():
-            x[own] = train(~own).features(*join(own))
+            x[own] = train(~own).features(flat[own[of_token]], lengths[own])
     weight = np.where(label == 1, counts[1] / (label == 1).sum(), counts[0] / (label == 0).sum())
     scale = np.where(x.std(0) > 0, x.std(0), 1)
     beta = logistic(x / scale, label, weight * len(rows) / weight.sum()) / scale
