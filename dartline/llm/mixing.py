@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dartline.llm.common import WORD, table
+from dartline.llm.common import WORD, Work, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -69,8 +69,9 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
 
 def draws(sources: DataFrame, out_shards: int = OUT_SHARDS) -> DataFrame:
     """One row for each slot of the mix: _rank of its source, slot, block taken, out_shard."""
+    n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: the few rows that go in become many
     parts = sources.where("slots > 0").select("_rank", "blocks", "slots", F.explode(F.expr("sequence(0L, slots - 1, 16384L)")).alias("_part"))
-    each = parts.repartition("_rank", "_part").select("_rank", "blocks", F.explode(F.expr("sequence(_part, least(_part + 16384L, slots) - 1)")).alias("slot"))
+    each = parts.repartition(n, "_rank", "_part").select("_rank", "blocks", F.explode(F.expr("sequence(_part, least(_part + 16384L, slots) - 1)")).alias("slot"))
     moved = F.expr(shuffled("slot % blocks", "blocks", "(_rank * 31 + slot div blocks)"))
     shard = F.expr(f"((((slot % {PRIME}) * 48271 + _rank * 7919) % {PRIME}) * 16807 % {PRIME}) % {int(out_shards)}")
     return each.select("_rank", "slot", moved.alias("block"), shard.alias("out_shard"))
@@ -83,6 +84,7 @@ def spans(docs: DataFrame, buckets: int) -> DataFrame:
     third of all rows is never one task.
     """
     rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0)).alias("size"), place(F.col("doc_id")).alias("_place"))
+    rows = Work(docs.sparkSession).keep(rows)  # the texts are read once; a few numbers a row are kept
     rows = rows.withColumn("_bucket", F.expr(f"_place div {2**52 // buckets + 1}"))
     sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,7 +113,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     runs = rows.where("size > 0").select("_row", "_rank", F.explode(F.expr(f"sequence(start div {BLOCK}, (start + size - 1) div {BLOCK}, 16384L)")).alias("_run"))
     parts = runs.select("_row", "_rank", F.explode(F.expr(f"sequence(_run, least(_run + 16383L, (_row.start + _row.size - 1) div {BLOCK}))")).alias("block"))
     held = F.least(F.col("_row.start") + F.col("_row.size"), (F.col("block") + 1) * BLOCK) - F.greatest(F.col("_row.start"), F.col("block") * BLOCK)
-    full = parts.join(taken, ["_rank", "block"], "left").groupBy("_row").agg(F.sum(held * F.coalesce("_times", F.lit(0))).alias("taken"))
+    full = parts.join(taken.hint("merge"), ["_rank", "block"], "left").groupBy("_row").agg(F.sum(held * F.coalesce("_times", F.lit(0))).alias("taken"))
     empty = rows.where("size = 0").select("_row", F.lit(0).cast("long").alias("taken"))
     return full.unionByName(empty).select("_row.doc_id", "_row.source", "_row.size", "_row.source_size", "_row.target", "taken")
 
