@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +9,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dartline.plans.work import Work, shared_dir  # noqa: F401
+
 #: Word of most operators: a run of anything but the six ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -24,51 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; where that is unset, a folder of our own.
-
-    Only a session in one JVM gets a temporary folder of this machine; a cluster without the
-    setting uses its warehouse, which is shared too.
-    """
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if base:
-        return base
-    if context.master.startswith("local") and not context.master.startswith("local-cluster"):
-        base = tempfile.mkdtemp(prefix="dartline-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    else:
-        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
-    context.setCheckpointDir(base)
-    return base
-
-
-class Work:
-    """Tables of one call in the shared folder, named once and removed when no longer read."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
-        self.at = 0
-
-    def keep(self, df: DataFrame, **options: str) -> DataFrame:
-        """df, written as Parquet and read again: cuts the lineage and outlives lost executors."""
-        self.at += 1
-        path = f"{self.root}/{self.at}"
-        df.write.options(**{"compression": "zstd", **options}).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._work_path = path
-        return out
-
-    def drop(self, *kept: DataFrame) -> None:
-        """Deletes kept tables that nothing will read again."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for df in kept:
-            path = jvm.org.apache.hadoop.fs.Path(df._work_path)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def crc_fold(doc_id, n: int):
     """crc32 of doc_id as text, modulo n; null: null."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
