@@ -1,12 +1,13 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from dartline.llm import decontaminate, jaccard, langid, licenses, media, mixing, sharding, tokencount, toxicity
+from dartline.llm import decontaminate, jaccard, katz, langid, licenses, media, mixing, sharding, tokencount, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
     "op2_language_id": langid.op2_language_id,
     "op3_media_columns": media.op3_media_columns,
     "op4_sharding": sharding.op4_sharding,
+    "op5_lm_scoring": katz.op5_lm_scoring,
     "op6_mixing": mixing.op6_mixing,
     "op7_token_counts": tokencount.op7_token_counts,
     "op8_decontamination": decontaminate.op8_decontamination,
