@@ -118,6 +118,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     return full.unionByName(empty).select("_row.doc_id", "_row.source", "_row.size", "_row.source_size", "_row.target", "taken")
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix as whole documents: each row of docs 0 to MOST times, all columns as they were.
+
+    A document of which the mix takes t words of n comes floor(t / n) times or once more, as a hash of its
+    doc_id decides with the odds of the rest: a source's words stay near its target. Texts without words
+    don't come. Rows that share doc_id and source share their t and n.
+    """
+    spark = docs.sparkSession
+    taken = mix(docs).groupBy("doc_id", "source").agg(F.sum("taken").alias("_t"), F.sum("size").alias("_n")).where("_t > 0")
+    taken = taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), (F.col("_t") / F.col("_n")).alias("_share"))
+    draw = place(F.concat(F.lit("mixed:"), F.coalesce(F.col("_d").cast("string"), F.lit("")))) / F.lit(2.0**52)
+    copies = Work(spark).keep(taken.withColumn("_copies", F.floor(F.col("_share") + draw).cast("int")).where("_copies > 0").drop("_share"))
+    rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
+    rows = rows.where(F.regexp_count("text", F.lit(WORD)) > 0).withColumn("_copy", F.explode(F.expr("sequence(1, _copies)")))
+    return rows.select(*[docs[c] for c in docs.columns])
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
