@@ -34,3 +34,91 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
         now = work.keep(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def node_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, component of all nodes; an isolated node is its own component."""
+    found = components(edges)
+    return nodes.select("id").distinct().join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def largest_connected_component(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) of the component with the most nodes; among equals the one with the smallest id."""
+    own = Work(edges.sparkSession).keep(node_components(edges, nodes))
+    best = own.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
+    ids = own.join(F.broadcast(best), "component", "left_semi").select("id")  # one row
+    return edges.join(ids, edges.u == ids.id, "left_semi"), nodes.join(ids, "id", "left_semi")
+
+
+def component_count(edges: DataFrame, nodes: DataFrame) -> int:
+    return node_components(edges, nodes).select("component").distinct().count()
+
+
+def require_connected(edges: DataFrame, nodes: DataFrame) -> None:
+    if component_count(edges, nodes) != 1:
+        raise ValueError("the graph is not connected")
+
+
+def distances(edges: DataFrame, sources: DataFrame, *, directed: bool = False, weight: str | None = None, rounds: int | None = None) -> DataFrame:
+    """i, j, d, pred: shortest distances from each source (column id) to all it reaches, itself at 0.
+
+    pred is the smallest last step of a shortest path (null at the source). Unweighted: breadth first, a
+    join a round, each pair found once. With weights (at least 0): relaxation until nothing improves.
+    Rows grow with sources times nodes; give few sources to large graphs.
+    """
+    columns = ["u", "v", *([weight] if weight else [])]
+    steps = edges.select(*columns)
+    if not directed:
+        steps = steps.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), *columns[2:]))
+    length = F.col(weight).cast("double") if weight else F.lit(1)
+    steps = steps.select("u", "v", length.alias("length"))
+    steps = steps.groupBy("u", "v").agg(F.min("length").alias("length"))
+    work = Work(edges.sparkSession)
+    steps = work.keep(steps)
+    zero = F.lit(0.0) if weight else F.lit(0)
+    first = sources.select(F.col("id").alias("i"), F.col("id").alias("j"), zero.alias("d"), F.lit(None).cast("long").alias("pred")).distinct()
+    known = frontier = work.keep(first)
+    before, done = None, 0
+    while rounds is None or done < rounds:
+        done += 1
+        reached = frontier.join(steps, frontier.j == steps.u).select("i", F.col("v").alias("j"), (F.col("d") + F.col("length")).alias("d"), F.col("u").alias("pred"))
+        best = reached.groupBy("i", "j").agg(F.min(F.struct("d", "pred")).alias("b")).select("i", "j", "b.d", "b.pred")
+        if not weight:
+            # both ways, a step from distance d leads to d - 1, d or d + 1: only those rows are compared
+            seen = known if directed or before is None else frontier.unionByName(before)
+            before, frontier = frontier, work.keep(best.join(seen.select("i", "j"), ["i", "j"], "left_anti"))
+            if frontier.isEmpty():
+                break
+            known = known.unionByName(frontier)
+        else:
+            old = known.select("i", "j", F.col("d").alias("old"))
+            better = best.join(old, ["i", "j"], "left").where("old is null or d < old").drop("old")
+            frontier = work.keep(better)
+            if frontier.isEmpty():
+                break
+            both = known.unionByName(frontier)
+            known = work.keep(both.groupBy("i", "j").agg(F.min(F.struct("d", "pred")).alias("b")).select("i", "j", "b.d", "b.pred"))
+    return known
+
+
+def distance_matrix(edges: DataFrame, nodes: DataFrame, *, check_connected: bool = True, **options) -> DataFrame:
+    """All pairs' distances in long form; by default a graph that isn't connected is a ValueError."""
+    if check_connected:
+        require_connected(edges, nodes)
+    return distances(edges, nodes, **options)
+
+
+def characteristic_path_length(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row, path_length: the mean distance over ordered pairs of the largest component, 0.0 if it has none."""
+    own, ids = largest_connected_component(edges, nodes)
+    return distances(own, ids).where("d > 0").agg(F.coalesce(F.avg("d"), F.lit(0.0)).alias("path_length"))
+
+
+def spanning_tree(edges: DataFrame, root: int | None = None) -> DataFrame:
+    """Edges of the breadth-first tree from the root, by default the smallest node; parents are the smallest possible."""
+    if root is None:
+        source = edges.agg(F.min("u").alias("id")).where("id is not null")
+    else:
+        source = edges.sparkSession.createDataFrame([(root,)], "id long")
+    tree = distances(edges, source).where("pred is not null")
+    return tree.select(F.least("j", "pred").alias("u"), F.greatest("j", "pred").alias("v"))
