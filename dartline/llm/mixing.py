@@ -130,7 +130,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     taken = taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), (F.col("_t") / F.col("_n")).alias("_share"))
     draw = place(F.concat(F.lit("mixed:"), F.coalesce(F.col("_d").cast("string"), F.lit("")))) / F.lit(2.0**52)
     copies = Work(spark).keep(taken.withColumn("_copies", F.floor(F.col("_share") + draw).cast("int")).where("_copies > 0").drop("_share"))
-    rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
+    # the copies grow with the documents: never broadcast
+    rows = docs.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
     rows = rows.where(F.regexp_count("text", F.lit(WORD)) > 0).withColumn("_copy", F.explode(F.expr("sequence(1, _copies)")))
     return rows.select(*[docs[c] for c in docs.columns])
 
