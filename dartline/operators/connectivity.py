@@ -59,12 +59,62 @@ def require_connected(edges: DataFrame, nodes: DataFrame) -> None:
         raise ValueError("the graph is not connected")
 
 
-def distances(edges: DataFrame, sources: DataFrame, *, directed: bool = False, weight: str | None = None, rounds: int | None = None) -> DataFrame:
+#: Steps up to which a breadth-first search sends the whole graph to its tasks (16 bytes a step).
+LOCAL_STEPS = 2_000_000
+
+
+def local_distances(steps: DataFrame, sources: DataFrame, rounds: int | None) -> DataFrame:
+    """Breadth-first distances of few steps (u, v): each task searches from its own sources over arrays of the graph."""
+    import numpy as np
+
+    pairs = steps.select("u", "v").toArrow()
+    u, v = (pairs.column(c).to_numpy() for c in ("u", "v"))
+    ids = np.unique(np.concatenate([u, v]))
+    order = np.lexsort((v, u))
+    targets = np.searchsorted(ids, v[order])
+    begins = np.searchsorted(u[order], np.append(ids, ids[-1] + 1 if len(ids) else 0))
+    sent = steps.sparkSession.sparkContext.broadcast((ids, targets, begins))
+
+    def run(batches):
+        import pyarrow as pa
+
+        ids, targets, begins = sent.value
+        for batch in batches:
+            for source in batch.column(0).to_pylist():
+                found, far, back = [np.array([source])], [np.zeros(1, np.int32)], [np.array([-1])]
+                known = np.zeros(len(ids), bool)
+                at = int(np.searchsorted(ids, source))
+                front = np.array([at] if at < len(ids) and ids[at] == source else [], np.int64)
+                known[front] = True
+                d = 0
+                while len(front) and (rounds is None or d < rounds):
+                    d += 1
+                    n = begins[front + 1] - begins[front]
+                    place = np.repeat(begins[front] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    new = ~known[targets[place]]
+                    # the front is sorted: the first step to a node comes from its smallest predecessor
+                    own, first = np.unique(targets[place[new]], return_index=True)
+                    found.append(ids[own])
+                    far.append(np.full(len(own), d, np.int32))
+                    back.append(ids[np.repeat(front, n)[new][first]])
+                    known[own] = True
+                    front = own
+                j, pred = np.concatenate(found), np.concatenate(back)
+                none = np.arange(len(j)) == 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), source)), pa.array(j), pa.array(np.concatenate(far)), pa.array(pred, mask=none)], names=["i", "j", "d", "pred"])
+
+    tasks = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = sources.select(F.col("id").cast("long")).where("id is not null").distinct().repartition(tasks, "id")
+    return own.mapInArrow(run, "i long, j long, d int, pred long")
+
+
+def distances(edges: DataFrame, sources: DataFrame, *, directed: bool = False, weight: str | None = None, rounds: int | None = None, local_steps: int = LOCAL_STEPS) -> DataFrame:
     """i, j, d, pred: shortest distances from each source (column id) to all it reaches, itself at 0.
 
     pred is the smallest last step of a shortest path (null at the source). Unweighted: breadth first, a
     join a round, each pair found once. With weights (at least 0): relaxation until nothing improves.
-    Rows grow with sources times nodes; give few sources to large graphs.
+    Rows grow with sources times nodes; give few sources to large graphs. A graph of up to local_steps steps goes
+    to the tasks whole, where each source is a search over arrays; larger ones are searched by joins.
     """
     columns = ["u", "v", *([weight] if weight else [])]
     steps = edges.select(*columns)
@@ -75,6 +125,8 @@ def distances(edges: DataFrame, sources: DataFrame, *, directed: bool = False, w
     steps = steps.groupBy("u", "v").agg(F.min("length").alias("length"))
     work = Work(edges.sparkSession)
     steps = work.keep(steps)
+    if not weight and steps.count() <= local_steps:
+        return work.keep(local_distances(steps, sources, rounds))
     zero = F.lit(0.0) if weight else F.lit(0)
     first = sources.select(F.col("id").alias("i"), F.col("id").alias("j"), zero.alias("d"), F.lit(None).cast("long").alias("pred")).distinct()
     known = frontier = work.keep(first)

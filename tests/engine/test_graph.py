@@ -61,6 +61,17 @@ def test_distances(spark):
     assert rows(c.spanning_tree(e), "u", "v") == [(0, 1), (0, 2), (1, 3)]
 
 
+@pytest.mark.parametrize("directed", [False, True])
+def test_both_searches_agree(spark, directed):
+    from dartline.sources.tables import erdos_renyi
+
+    e = erdos_renyi(spark, 60, 0.05, 4)
+    some = spark.createDataFrame([(i,) for i in (0, 7, 59, 60, 7)], "id long")
+    a, b = (rows(c.distances(e, some, directed=directed, local_steps=n).na.fill(-1), "i", "j", "d", "pred") for n in (10**6, 0))
+    assert a == b and (60, 60, 0, -1) in a
+    assert max(r[2] for r in rows(c.distances(e, some, rounds=2), "i", "j", "d")) == 2
+
+
 def test_statistics_of_toy(spark):
     e, n = graph(spark, TOY)
     got = {r["metric"]: r["value"] for r in s.compute_graph_statistics(e, n).collect()}
