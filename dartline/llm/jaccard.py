@@ -14,7 +14,7 @@
    with it (T-occurrence, DivideSkip): the longest inverted lists are put aside, the short ones merged,
    and sets that reach T less the number of long lists are looked up in those by binary search. What is
    already known to be in one component isn't compared again.
-5. The links found are a spanning forest of all links; its components are the result.
+5. Each search names the groups it found; components over those are the result.
 
 Shingles are compared by hashes of 40 bits in as many buckets; set sizes and classes by 64 and 128 bits.
 Chunks are numbered by scan task, so `docs` must be readable again in the same order, as tables are.
@@ -89,8 +89,8 @@ def chunk_rows(ids: list, texts: list, chunk: int, buckets: int, hashes: WordHas
     flat = np.fromiter((hashes[w] for ws in own for w in ws), np.uint64, int(lengths.sum()))
     h, sizes = shingles(flat, lengths, words)
     ends = np.cumsum(sizes)
-    prints = np.zeros((len(own), 2), np.uint64)
-    first, of = {}, np.full(len(own), -1, np.int64)  # the chunk's distinct sets, by first document
+    prints = np.zeros((len(texts), 2), np.uint64)
+    first, of = {}, np.full(len(texts), -1, np.int64)  # the chunk's distinct sets, by first document
     keep = np.zeros(len(h), bool)
     for d, (n, end) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
         if n:
@@ -202,7 +202,7 @@ def merged(lists: list[np.ndarray], least: int, width: int, base: int) -> tuple[
 
 
 def search(rows: list[dict], percent: int = PERCENT):
-    """Links (a, b) that span all links between a block's sets; with two parts, between those."""
+    """Pairs (u, v) that join a block's sets as all their links do; with two parts, all links between those."""
     rows.sort(key=lambda r: (r["n"], r["cid"]))
     k = len(rows)
     sizes = np.array([r["n"] for r in rows], np.int64)
@@ -252,7 +252,13 @@ def search(rows: list[dict], percent: int = PERCENT):
                 x, y = root(c), root(q)
                 parent[max(x, y)] = min(x, y)
                 group[group == max(x, y)] = min(x, y)
-                yield {"u": rows[c]["cid"], "v": rows[q]["cid"]}
+    # every set by the smallest of its group: components of such stars take one round
+    cids = np.array([r["cid"] for r in rows], np.int64)
+    least = np.full(k, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, cids)
+    for cid, own in zip(cids.tolist(), least[group].tolist(), strict=True):
+        if cid != own:
+            yield {"u": own, "v": cid}
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, buckets: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -299,6 +305,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, buc
     blocks = components(stars, "cid", "least").withColumnRenamed("component", "block")
 
     members = work.keep(sets.join(blocks, sets.cid == blocks.node).select("block", "cid", "n", "shared"))
+    work.drop(sets)
     weights = members.groupBy("block").agg(F.sum("n").alias("w")).select("block", F.ceil(F.col("w") / F.lit(block)).cast("int").alias("cuts"))
     placed = members.join(weights, "block").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("cuts")).cast("int"))
     # a cut block: one task for each pair of parts
@@ -306,6 +313,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, buc
     tasks = placed.withColumn("other", other).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
     links = grouped(tasks.select("block", "i", "j", "cid", "n", "part", "shared"), ["block", "i", "j"], lambda _, own: search(own, percent), "u long, v long")
     joined = components(links)
+    work.drop(members)
 
     named = classes.join(joined, classes.cid == joined.node, "left").select("p0", "p1", "n", F.coalesce("component", "cid").alias("component_id"))
     linked = rows.where("n > 0 and doc_id is not null").join(named, ["p0", "p1", "n"])

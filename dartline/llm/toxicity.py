@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dartline.llm.common import WordHashes, crc_fold, grouped, mix, plain_words, row_slices, segment_ids, table
+from dartline.llm.common import WordHashes, crc_fold, deltas, grouped, mix, pack, plain_words, row_slices, segment_ids, table, undeltas, unpack
 
 SAMPLE = 2000
 DISCOUNT = 0.75
@@ -79,6 +79,17 @@ class TwoModels:
             self.held.append((np.maximum(count - DISCOUNT, 0) / np.maximum(total[before], 1)).astype(np.float32))
             self.rest.append(np.where(total > 0, DISCOUNT * follow / np.maximum(total, 1), 1.0).astype(np.float32))
 
+    def packed(self) -> dict:
+        return {"unseen": self.unseen, "tables": pack(deltas(self.words), deltas(self.bigrams), *self.held, *self.rest, *self.lower)}
+
+    @classmethod
+    def unpacked(cls, state: dict) -> TwoModels:
+        out = cls.__new__(cls)
+        words, bigrams, *rows = unpack(state["tables"])
+        out.words, out.bigrams, out.unseen = undeltas(words), undeltas(bigrams), state["unseen"]
+        out.held, out.rest, out.lower = rows[:2], rows[2:4], rows[4:]
+        return out
+
     def ratios(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log p(word | before, toxic) - log p(word | before, ordinary) of each word; the same without `before`."""
         _, pair = pairs(flat, lengths)
@@ -165,16 +176,22 @@ def fit(rows: list[dict], counts: tuple[int, int]) -> dict:
     weight = np.where(label == 1, counts[1] / (label == 1).sum(), counts[0] / (label == 0).sum())
     scale = np.where(x.std(0) > 0, x.std(0), 1)
     beta = logistic(x / scale, label, weight * len(rows) / weight.sum()) / scale
-    return {"base": base, "models": vars(train(np.ones(len(rows), bool))), "beta": beta}
+    return {"base": base, "models": train(np.ones(len(rows), bool)).packed(), "beta": beta}
+
+
+class Scorer:
+    """Scores texts by a pickled result of fit()."""
 
+    def __init__(self, fitted: bytes):
+        self.fitted = pickle.loads(fitted)
+        self.models = TwoModels.unpacked(self.fitted["models"]) if "models" in self.fitted else None
+        self.hashes = WordHashes()
 
-def apply(scorer: dict, texts: list[str | None], hashes: WordHashes) -> np.ndarray:
-    if "models" not in scorer:
-        return np.full(len(texts), scorer["base"])
-    models = TwoModels.__new__(TwoModels)
-    vars(models).update(scorer["models"])
-    x = models.features(*hashed(texts, hashes))
-    return 1 / (1 + np.exp(-np.clip(x @ scorer["beta"], -500, 500)))
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        if self.models is None:
+            return np.full(len(texts), self.fitted["base"])
+        x = self.models.features(*hashed(texts, self.hashes))
+        return 1 / (1 + np.exp(-np.clip(x @ self.fitted["beta"], -500, 500)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, fold: int | None = 2, sample: int = SAMPLE):
@@ -193,7 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int | None = 2, sample: int
     texts = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # 2 * sample rows at most
     totals = (counts.get(0, 0), counts.get(1, 0))
     model = grouped(texts.select(F.lit(0).alias("one"), "order", "toxic", "text"), ["one"], lambda _, rows: [{"model": pickle.dumps(fit(rows, totals), 5)}], "model binary").collect()
-    return spark.sparkContext.broadcast(pickle.loads(model[0]["model"]) if model else {"base": totals[1] / max(sum(totals), 1)})
+    return spark.sparkContext.broadcast(bytes(model[0]["model"]) if model else pickle.dumps({"base": totals[1] / max(sum(totals), 1)}))
 
 
 def score(docs: DataFrame, scorer) -> DataFrame:
@@ -202,9 +219,9 @@ def score(docs: DataFrame, scorer) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        hashes = WordHashes()
+        own = Scorer(scorer.value)
         for rows in row_slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), pa.array(apply(scorer.value, rows["text"], hashes), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), pa.array(own(rows["text"]), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
@@ -222,9 +239,9 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     def run(batches):
         import pyarrow as pa
 
-        hashes = WordHashes()
+        own = Scorer(scorer.value)
         for rows in row_slices(batches):
-            keep = pa.array(apply(scorer.value, rows["text"], hashes) < threshold)
+            keep = pa.array(own(rows["text"]) < threshold)
             yield pa.RecordBatch.from_pydict(rows, schema=arrow).filter(keep)
 
     return docs.mapInArrow(run, docs.schema)
