@@ -15,7 +15,7 @@ from dartline.plans.work import Work, shared_dir  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Distinct words whose hashes a worker remembers at a time.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,17 +141,29 @@ def batched(rows: Iterator[dict], schema, size: int, most: int = 8 << 20) -> Ite
 
 
 def row_slices(batches: Iterator, most: int = 1 << 21) -> Iterator[dict[str, list]]:
-    """Arrow batches as column lists whose `text` values hold about `most` characters together, or one row."""
+    """Arrow batches as column lists whose `text` values hold about `most` bytes together, or one row."""
+    import pyarrow.compute as pc
+
     for batch in batches:
-        columns = batch.to_pydict()
-        texts, start, held = columns["text"], 0, 0
-        for i, text in enumerate(texts):
-            held += len(text or "")
-            if held >= most or i + 1 == len(texts):
-                yield {c: v[start : i + 1] for c, v in columns.items()}
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        start, held = 0, 0
+        for i, size in enumerate(sizes.tolist()):
+            held += size
+            if held >= most or i + 1 == len(sizes):
+                yield batch.slice(start, i + 1 - start).to_pydict()
                 start, held = i + 1, 0
 
 
+def hash_texts(texts: list, hashes: WordHashes, split: Callable = words_of) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts in a row, and the number of words of each; the words of one text at a time."""
+    parts = []
+    for text in texts:
+        words = split(text)
+        parts.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), lengths
+
+
 #: Words without ASCII punctuation: A-Z lower-cased, and all but letters, digits and non-ASCII bytes a space.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dartline.llm.common import Work, WordHashes, mix, plain_words, row_slices, segment_ids, table
+from dartline.llm.common import Work, WordHashes, hash_texts, mix, plain_words, row_slices, segment_ids, table
 
 MASKS = ("111111", "11101011", "101000011011")
 WINDOW = 20
@@ -140,9 +140,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int =
 
             index, hashes = Items(sent.value, masks, window, share), WordHashes()
             for rows in row_slices(batches):
-                words = [item_words(t) for t in rows["text"]]
-                lengths = np.fromiter(map(len, words), np.int64, len(words))
-                flat = np.fromiter((hashes[w] for ws in words for w in ws), np.uint64, int(lengths.sum()))
+                flat, lengths = hash_texts(rows["text"], hashes, item_words)
                 for d, found in index.hits(flat, lengths).items():
                     rows[into][d] = [*rows[into][d], *found]
                 yield pa.RecordBatch.from_pydict(rows, schema=arrow)

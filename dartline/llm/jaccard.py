@@ -29,13 +29,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dartline.llm.common import Work, WordHashes, deltas, grouped, mapped, mix, pack, row_slices, segment_ids, table, undeltas, unpack, words_of
+from dartline.llm.common import Work, WordHashes, deltas, grouped, hash_texts, mapped, mix, pack, row_slices, segment_ids, table, undeltas, unpack
 from dartline.operators.connectivity import components
 
 WORDS = 5
 #: Alike enough: 100 * |A and B| >= PERCENT * |A or B|.
 PERCENT = 75
-CHUNK = 6 << 20
+CHUNK = 4 << 20
 BLOCK = 2_000_000
 LOW = 40
 #: The share of a skipped list's cost in DivideSkip's choice of the long lists.
@@ -84,9 +84,7 @@ def chunk_rows(ids: list, texts: list, chunk: int, buckets: int, hashes: WordHas
     """A chunk's own row (kind 0) and its questions to the buckets (kind 1)."""
     import xxhash
 
-    own = [words_of(t) for t in texts]
-    lengths = np.fromiter(map(len, own), np.int64, len(own))
-    flat = np.fromiter((hashes[w] for ws in own for w in ws), np.uint64, int(lengths.sum()))
+    flat, lengths = hash_texts(texts, hashes)
     h, sizes = shingles(flat, lengths, words)
     ends = np.cumsum(sizes)
     prints = np.zeros((len(texts), 2), np.uint64)
@@ -326,8 +324,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows without doc_id stay. Rows that repeat both doc_id and text stay once.
     """
-    groups = near_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    others = near_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("other")).distinct()
+    left = docs.join(others, docs["doc_id"] == others["other"], "left_anti")
     ids = docs.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("d")).first()
     if ids["n"] > ids["d"]:
         known = left.where("doc_id is not null").dropDuplicates(["doc_id", "text"])

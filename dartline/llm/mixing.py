@@ -133,7 +133,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     # the copies grow with the documents: never broadcast
     rows = docs.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
     rows = rows.where(F.regexp_count("text", F.lit(WORD)) > 0).withColumn("_copy", F.explode(F.expr("sequence(1, _copies)")))
-    return rows.select(*[docs[c] for c in docs.columns])
+    return rows.drop("_d", "_s", "_copies", "_copy")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

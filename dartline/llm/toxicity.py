@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dartline.llm.common import WordHashes, crc_fold, deltas, grouped, mix, pack, plain_words, row_slices, segment_ids, table, undeltas, unpack
+from dartline.llm.common import WordHashes, crc_fold, deltas, grouped, hash_texts, mix, pack, plain_words, row_slices, segment_ids, table, undeltas, unpack
 
 SAMPLE = 2000
 DISCOUNT = 0.75
@@ -33,14 +33,6 @@ FOLDS = 6
 START = np.uint64(0x9E3779B97F4A7C15)
 
 
-def hashed(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts in a row, and the number of words of each."""
-    words = [plain_words(t) for t in texts]
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.fromiter((hashes[w] for ws in words for w in ws), np.uint64, int(lengths.sum()))
-    return flat, lengths
-
-
 def pairs(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The word before each word (START before a text's first) and the hash of the two."""
     before = np.empty_like(flat)
@@ -152,7 +144,7 @@ def fit(rows: list[dict], counts: tuple[int, int]) -> dict:
     base = counts[1] / max(sum(counts), 1)
     if not len(rows) or label.min() == label.max():
         return {"base": base}
-    flat, lengths = hashed([r["text"] for r in rows], WordHashes())
+    flat, lengths = hash_texts([r["text"] for r in rows], WordHashes(), plain_words)
     if not len(flat):
         return {"base": base}
     before, pair = pairs(flat, lengths)
@@ -190,7 +182,7 @@ class Scorer:
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         if self.models is None:
             return np.full(len(texts), self.fitted["base"])
-        x = self.models.features(*hashed(texts, self.hashes))
+        x = self.models.features(*hash_texts(texts, self.hashes, plain_words))
         return 1 / (1 + np.exp(-np.clip(x @ self.fitted["beta"], -500, 500)))
 
 
