@@ -8,8 +8,10 @@
    sets are one class from here on.
 3. Shingles are ordered by frequency, rarest first. Sets that link share one of the first
    n - ceil(alike * n) + 1 shingles of either (its prefix). Components over shared prefixes are blocks:
-   all links lie inside blocks. A block of more than BLOCK shingles is cut into parts by hash, and each
-   pair of parts is searched by itself.
+   all links lie inside blocks. In a block of more than BLOCK shingles, each set is first compared with the
+   smallest set of each prefix list that it is in; most of a large group of near copies is one component
+   then. That component's sets need no comparison with each other: they are cut into parts by hash, the
+   block's other sets too, and every part of the others is searched with every part.
 4. Inside a block each set asks for the earlier sets that share at least T = ceil(alike * n) shingles
    with it (T-occurrence, DivideSkip): the longest inverted lists are put aside, the short ones merged,
    and sets that reach T less the number of long lists are looked up in those by binary search. What is
@@ -200,7 +202,10 @@ def merged(lists: list[np.ndarray], least: int, width: int, base: int) -> tuple[
 
 
 def search(rows: list[dict], percent: int = PERCENT):
-    """Pairs (u, v) that join a block's sets as all their links do; with two parts, all links between those."""
+    """Pairs (u, v) that join a block's sets as all their links do; with two parts, all links between those.
+
+    Sets whose `known` is the same are in one component from the start.
+    """
     rows.sort(key=lambda r: (r["n"], r["cid"]))
     k = len(rows)
     sizes = np.array([r["n"] for r in rows], np.int64)
@@ -212,7 +217,8 @@ def search(rows: list[dict], percent: int = PERCENT):
     # postings: token * k + set, sorted; an inverted list is a range of it
     postings = np.sort(token * k + segment_ids(lengths))
     ends = np.cumsum(lengths)
-    parent = np.arange(k)
+    _, first, number = np.unique([r["known"] for r in rows], return_index=True, return_inverse=True)
+    parent = first[number]
 
     def root(x):
         while parent[x] != x:
@@ -220,15 +226,15 @@ def search(rows: list[dict], percent: int = PERCENT):
             x = parent[x]
         return x
 
-    group = np.arange(k)  # the root of every set, refreshed after each union
+    group = parent.copy()  # the root of every set, refreshed after each union
     for q in range(1, k):
         n = int(sizes[q])
         least = need(n, percent)
-        first = int(np.searchsorted(sizes, least))  # smaller sets are too small
-        if first >= q:
+        start = int(np.searchsorted(sizes, least))  # smaller sets are too small
+        if start >= q or (group[start:q] == group[q]).all():
             continue
         keys = token[ends[q] - lengths[q] : ends[q]] * k
-        low, high = np.searchsorted(postings, keys + first), np.searchsorted(postings, keys + q)
+        low, high = np.searchsorted(postings, keys + start), np.searchsorted(postings, keys + q)
         size = high - low
         has = size > 0
         if int(has.sum()) < least:
@@ -239,7 +245,7 @@ def search(rows: list[dict], percent: int = PERCENT):
         long = min(least - 1, int(least / (MU * math.log2(longest + 1) + 1)), len(order) - 1)
         short, rest = order[: len(order) - long], order[len(order) - long :]
         lists = [postings[a:b] - c for a, b, c in zip(low[short].tolist(), high[short].tolist(), keys[short].tolist(), strict=True)]
-        found, counts = merged(lists, least - long, q - first, first)
+        found, counts = merged(lists, least - long, q - start, start)
         for c, have in zip(found.tolist(), counts.tolist(), strict=True):
             if group[c] == group[q] or (crossing and parts[c] == parts[q]):
                 continue
@@ -259,6 +265,38 @@ def search(rows: list[dict], percent: int = PERCENT):
             yield {"u": own, "v": cid}
 
 
+def compared(rows: list[dict], percent: int):
+    """Those of the pairs (u, v) with their sets (n, a; m, b) that link."""
+    for r in rows:
+        a, b = undeltas(unpack(r["a"])[0]), undeltas(unpack(r["b"])[0])
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= percent * (r["n"] + r["m"] - common):
+            yield {"u": r["u"], "v": r["v"]}
+
+
+def large_blocks(members: DataFrame, stars: DataFrame, large: DataFrame, percent: int, block: int, work: Work) -> tuple[DataFrame, DataFrame]:
+    """Links to the smallest sets of prefix lists, and what is left to search, for the blocks in `large`."""
+    own = members.join(large.select("block"), "block", "left_semi")
+    left = own.select(F.col("cid").alias("u"), "n", F.col("shared").alias("a"))
+    right = own.select(F.col("cid").alias("v"), F.col("n").alias("m"), F.col("shared").alias("b"))
+    both = stars.select(F.col("cid").alias("u"), F.col("least").alias("v")).join(left, "u").join(right, "v")
+    pairs = work.keep(mapped(both, lambda rows: compared(rows, percent), "u long, v long"))
+    known = components(pairs).select(F.col("node").alias("cid"), F.col("component").alias("known"))
+    rows = own.join(known, "cid", "left").withColumn("known", F.coalesce("known", "cid"))
+    rows = work.keep(rows)
+    sizes = rows.groupBy("block", "known").agg(F.sum("n").alias("w"))
+    main = sizes.groupBy("block").agg(F.max(F.struct("w", "known")).alias("m"), F.sum("w").alias("w"))
+    cuts = lambda w: F.ceil(w / F.lit(block)).cast("int")
+    main = main.select("block", F.col("m.known").alias("main"), cuts(F.col("m.w")).alias("mains"), cuts(F.col("w") - F.col("m.w")).alias("others"))
+    rows = rows.join(main, "block").withColumn("is_main", F.col("known") == F.col("main"))
+    # parts 0..others-1 hold the others, the next ones the main component's sets
+    parts = F.when(F.col("is_main"), F.col("others") + F.pmod(F.xxhash64("cid"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("cid"), F.greatest("others", F.lit(1)))).cast("int")
+    rows = rows.where("not is_main or others > 0").withColumn("part", parts)
+    last = F.when(F.col("is_main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return pairs, rows.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cid", "n", "part", "shared", "known")
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, buckets: int | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs; extra columns are ignored.
 
@@ -299,17 +337,21 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, buc
 
     tokens = mapped(sets, prefixes, "token long, cid long", size=50_000)
     least = tokens.groupBy("token").agg(F.min("cid").alias("least"), F.count("*").alias("sets")).where("sets > 1")
-    stars = tokens.join(least, "token").where("cid <> least").select("cid", "least").distinct()
+    stars = work.keep(tokens.join(least, "token").where("cid <> least").select("cid", "least").distinct())
     blocks = components(stars, "cid", "least").withColumnRenamed("component", "block")
 
     members = work.keep(sets.join(blocks, sets.cid == blocks.node).select("block", "cid", "n", "shared"))
     work.drop(sets)
     weights = members.groupBy("block").agg(F.sum("n").alias("w")).select("block", F.ceil(F.col("w") / F.lit(block)).cast("int").alias("cuts"))
-    placed = members.join(weights, "block").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("cuts")).cast("int"))
-    # a cut block: one task for each pair of parts
-    other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
-    tasks = placed.withColumn("other", other).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    links = grouped(tasks.select("block", "i", "j", "cid", "n", "part", "shared"), ["block", "i", "j"], lambda _, own: search(own, percent), "u long, v long")
+    whole = members.join(weights.where("cuts = 1"), "block").withColumn("known", F.col("cid"))
+    tasks = whole.select("block", F.lit(0).alias("i"), F.lit(0).alias("j"), "cid", "n", F.lit(0).alias("part"), "shared", "known")
+    pairs = None
+    large = weights.where("cuts > 1")
+    if not large.isEmpty():
+        pairs, cut = large_blocks(members, stars, large, percent, block, work)
+        tasks = tasks.unionByName(cut)
+    links = grouped(tasks, ["block", "i", "j"], lambda _, own: search(own, percent), "u long, v long")
+    links = links if pairs is None else links.unionByName(pairs)
     joined = components(links)
     work.drop(members)
 

@@ -66,7 +66,7 @@ def near_copies(n, seed=7):
     return rows
 
 
-@pytest.mark.parametrize("block", [jaccard.BLOCK, 2000])
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 2000, 300])
 def test_large_groups_equal_brute_force(spark, block):
     check(spark.createDataFrame(near_copies(40), "doc_id long, text string").repartition(3), block=block)
 
