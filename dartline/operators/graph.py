@@ -59,6 +59,17 @@ def numbered(rows: DataFrame, *order: str | Column, name: str = "new") -> DataFr
     return rows.withColumn("_inside", inside).join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + F.col("_inside") - 1).drop("_part", "_inside", "_before")
 
 
+def running_sum(rows: DataFrame, value: str, *order: str | Column, name: str) -> DataFrame:
+    """rows with the sum of value up to each in the order given (no ties), added up a range at a time."""
+    work = Work(rows.sparkSession)
+    rows = work.keep(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sums = rows.groupBy("_part").agg(F.sum(value).alias("_n"))  # a row a partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_inside", inside).join(F.broadcast(sums), "_part").withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before")
+
+
 def dense_ids(nodes: DataFrame) -> DataFrame:
     """id, new: 0, 1, ... in the order of id."""
     return numbered(nodes.select("id").distinct(), "id")

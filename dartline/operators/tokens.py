@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dartline.functions.rng import rand01, randint
-from dartline.operators.graph import numbered
+from dartline.operators.graph import numbered, running_sum
 
 IGNORED = -100
 
@@ -119,7 +119,7 @@ def unique_chunk_ratio(chunks: DataFrame) -> DataFrame:
 def dart_coverage(rows: DataFrame) -> DataFrame:
     """walk, covered: distinct darts of (walk, u, v) up to each walk that brings new ones."""
     first = rows.groupBy("u", "v").agg(F.min("walk").alias("walk")).groupBy("walk").agg(F.count("*").alias("new"))
-    return first.select("walk", F.sum("new").over(Window.orderBy("walk")).alias("covered"))
+    return running_sum(first, "new", "walk", name="covered").select("walk", "covered")
 
 
 def full_coverage_walk(coverage: DataFrame, darts: int) -> DataFrame:

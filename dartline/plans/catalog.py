@@ -831,8 +831,8 @@ def diagnostics_by_split(spark, d):
 @query(with_(_HISTORY) + "SELECT run || ' | ' || coalesce(val_score::VARCHAR, '') AS label, row_number() OVER (ORDER BY val_score DESC NULLS LAST, run, epoch) AS place FROM hi")
 def sorted_labels(spark, d):
     rows = history(spark, d)
-    place = F.row_number().over(Window.orderBy(*reports.sort_keys([("val_score", False), ("run", True), ("epoch", True)])))
-    return rows.select(reports.label(["run", "val_score"]).alias("label"), place.alias("place"))
+    rows = graph.numbered(rows, *reports.sort_keys([("val_score", False), ("run", True), ("epoch", True)]), name="place")
+    return rows.select(reports.label(["run", "val_score"]).alias("label"), (F.col("place") + 1).alias("place"))
 
 
 @query(with_(_HISTORY) + "SELECT event_type, run, epoch FROM hi QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY run, epoch) = 1")
