@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -29,13 +30,31 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_roots: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """Removes the work tables of this process if its session still runs."""
+    for spark, root in _roots:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            if spark.sparkContext._jsc is not None:
+                delete(spark, root)
+
+
 class Work:
-    """Tables of one call in the shared folder, named once and removed when no longer read."""
+    """Tables of one call in the shared folder; removed when no longer read, or when the process ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
         self.at = 0
+        _roots.append((spark, self.root))
 
     def keep(self, df: DataFrame, **options: str) -> DataFrame:
         """df, written as Parquet and read again: cuts the lineage and outlives lost executors."""
@@ -48,8 +67,5 @@ class Work:
 
     def drop(self, *kept: DataFrame) -> None:
         """Deletes kept tables that nothing will read again."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in kept:
-            path = jvm.org.apache.hadoop.fs.Path(df._work_path)
-            path.getFileSystem(conf).delete(path, True)
+            delete(self.spark, df._work_path)
