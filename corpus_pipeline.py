@@ -42,7 +42,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each stage's rows are written and read again."""
-    work, docs = Work(spark), table(spark, sf_dir, "documents")
+    work, docs, last = Work(spark), table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = work.keep(stage(spark, docs, sf_dir))
+        if last is not None:
+            work.drop(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
