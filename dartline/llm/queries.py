@@ -15,5 +15,6 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE_SQL = {
+    "op1_ngram_jaccard_join": jaccard.OP1_SQL,
     "op6_mixing": mixing.OP6_SQL,
 }
