@@ -159,3 +159,37 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, thresho
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def _sql() -> str:
+    """The same in DuckDB's SQL: all templates against all blocks."""
+    quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+    rows = []
+    for label, text in TEMPLATES:
+        words = sorted({w.decode() for w in plain(text).split()})
+        rows.append(f"('{label}', [{quoted(words)}], {max(1, math.ceil(THRESHOLD * len(words) - 1e-9))})")
+    hits = []
+    for phrase, label in PHRASES:
+        words = phrase.split()
+        same = " AND ".join(f"k[i + {j}] = '{w}'" for j, w in enumerate(words, 1))
+        hits.append(f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(len(k) - {len(words) - 1}), lambda i: {same})) AS at_word FROM w")
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    half = WINDOW // 2
+    return f"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all({lower}, '{word}') AS k FROM documents),
+h AS MATERIALIZED ({' UNION ALL '.join(hits)}),
+b AS (SELECT doc_id, count(*) AS n, min(at_word) AS a, max(at_word) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h GROUP BY doc_id),
+l AS (SELECT doc_id, regexp_extract_all(unnest(string_split({lower}, chr(10))), '{word}') AS k FROM documents),
+x AS MATERIALIZED (SELECT doc_id, list_distinct(unnest(CASE WHEN len(k) <= {WINDOW} THEN [k] ELSE list_transform(range(0, len(k) - {half}, {half}), lambda i: k[i + 1:i + {WINDOW}]) END)) AS k FROM l),
+t(label, words, needed) AS (VALUES {', '.join(rows)}),
+m AS (SELECT doc_id, label, len(list_intersect(k, words)) / len(words)::DOUBLE AS share FROM x, t WHERE len(list_intersect(k, words)) >= needed),
+y AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM m UNION SELECT doc_id, label FROM h) GROUP BY doc_id),
+v AS (SELECT doc_id, max(share) AS share FROM m GROUP BY doc_id)
+SELECT w.doc_id, len(k)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.a::BIGINT AS first_word, b.z::BIGINT AS last_word, coalesce(b.labels, '') AS base_labels,
+ coalesce(y.labels, '') AS labels, CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(v.share, 0.0::DOUBLE) END AS score
+FROM w LEFT JOIN b USING (doc_id) LEFT JOIN y USING (doc_id) LEFT JOIN v USING (doc_id)
+"""
+
+
+OP9_SQL = _sql()

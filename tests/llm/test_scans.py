@@ -310,3 +310,22 @@ def test_stages_handle_awkward_and_empty_tables(spark, sf):
             docs = spark.createDataFrame(out.collect(), docs.schema)
         rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
         assert len(rows) == docs.count()
+
+
+# SQL
+
+
+@pytest.mark.parametrize("name", ["op1_ngram_jaccard_join", "op6_mixing", "op9_license_scan"])
+def test_queries_equal_their_sql(spark, sf, name):
+    import duckdb
+
+    from dartline.llm.queries import ORACLE_SQL, QUERIES
+
+    got = QUERIES[name](spark, sf)
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+        want = c.sql(ORACLE_SQL[name])
+        columns = want.columns
+        want = want.fetchall()
+    assert sorted(columns) == sorted(got.columns) and len(want) > 100
+    assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == sorted(want, key=repr)
