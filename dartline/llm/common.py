@@ -86,17 +86,23 @@ def undeltas(a: np.ndarray) -> np.ndarray:
     return np.cumsum(a, dtype=a.dtype)
 
 
+def rows_of(batches: Iterator, most: int = 64) -> Iterator[dict]:
+    """Rows as dicts, a few of them Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, most):
+            yield from batch.slice(start, most).to_pylist()
+
+
 def groups(batches: Iterator, key: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
     """Arrow batches whose rows are sorted by key -> (key, rows) of one group at a time."""
     now, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            k = tuple(row[c] for c in key)
-            if k != now:
-                if rows:
-                    yield now, rows
-                now, rows = k, []
-            rows.append(row)
+    for row in rows_of(batches):
+        k = tuple(row[c] for c in key)
+        if k != now:
+            if rows:
+                yield now, rows
+            now, rows = k, []
+        rows.append(row)
     if rows:
         yield now, rows
 
@@ -119,7 +125,7 @@ def mapped(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema
     from pyspark.sql.types import StructType
 
     def run(batches):
-        yield from batched(fn(row for batch in batches for row in batch.to_pylist()), arrow, size)
+        yield from batched(fn(rows_of(batches)), arrow, size)
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     return df.mapInArrow(run, schema)
