@@ -1,6 +1,8 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a window of WINDOW words of a longer line (windows overlap by half). A block
+A block is a line, or a window of WINDOW words of a longer line (windows overlap by half), or, for a
+template of n words, repeats counted, any window of n + n // 4 words of the text, whatever the line ends:
+a notice is found however it is wrapped, and whatever its length, with up to a fifth of other words. A block
 meets a template when it holds at least `threshold` of the template's distinct words. The join orders
 words by how many documents hold them, rarest first. Its filters lose nothing:
 prefix: a block that meets a template of n words, m of them needed, holds one of its n - m + 1 rarest;
@@ -57,15 +59,17 @@ class Templates:
     """Templates with their words in the order of `frequency`, and an index of their prefixes."""
 
     def __init__(self, templates, frequency: dict[bytes, int], threshold: float):
-        self.labels, self.words, self.needed, self.index = [], [], [], {}
+        self.labels, self.words, self.needed, self.sizes, self.index = [], [], [], [], {}
         for label, text in templates:
-            words = sorted(set(plain(text).split()), key=lambda w: (frequency.get(w, 0), w))
+            every = plain(text).split()
+            words = sorted(set(every), key=lambda w: (frequency.get(w, 0), w))
             if not words:
                 continue
             t, need = len(self.words), max(1, math.ceil(threshold * len(words) - 1e-9))
             self.labels.append(label)
             self.words.append(words)
             self.needed.append(need)
+            self.sizes.append(len(every) + len(every) // 4)
             for i, w in enumerate(words[: len(words) - need + 1]):
                 self.index.setdefault(w, []).append((t, i))
 
@@ -84,15 +88,41 @@ class Templates:
                 yield t, common / len(words)
 
 
+def windows(words: list[bytes], own: list[bytes], size: int, need: int):
+    """(first word, last word, distinct words) of the fullest window of each run of overlapping windows of
+    `size` words that hold `need` of the words in `own`; first and last are such words."""
+    wanted = frozenset(own)
+    places = [i for i, w in enumerate(words) if w in wanted]
+    times: dict[bytes, int] = {}
+    low, best = 0, None
+    for high, at in enumerate(places):
+        times[words[at]] = times.get(words[at], 0) + 1
+        while at - places[low] >= size:
+            gone = words[places[low]]
+            times[gone] -= 1
+            if not times[gone]:
+                del times[gone]
+            low += 1
+        if len(times) >= need:
+            if best and places[low] > last:
+                yield best
+                best = None
+            last = at
+            if not best or len(times) > best[2]:
+                best = places[low], at, len(times)
+    if best:
+        yield best
+
+
 def scan(text: str | None, templates: Templates, phrases) -> dict:
     """A text's base counts, labels, score and the word spans of the blocks that meet a template."""
     body = plain(text)
+    words = body.split()
     lines = [line.split() for line in body.split(b"\n")]
     n, labels, base_labels, places, score, spans = 0, set(), set(), [], 0.0, []
     firsts = {p[0]: [q for q in phrases if q[0][0] == p[0]] for p, _ in phrases}
     likely = any(p[-1] in body for p, _ in phrases)
     if likely:
-        words = body.split()
         ends = {p[0] for p, _ in phrases}
         for i, w in enumerate(words):
             if w in ends:
@@ -100,8 +130,11 @@ def scan(text: str | None, templates: Templates, phrases) -> dict:
                     if tuple(words[i : i + len(p)]) == p:
                         places.append(i)
                         base_labels.add(label)
-    prefixes = templates.index.keys()
-    for line in lines:
+    prefixes, whole = templates.index.keys(), {}
+    held = set(words)
+    for t, _ in templates.matches(held, held & prefixes):  # no window holds more than the whole text
+        whole[t] = []
+    for line in lines if whole else ():
         if not prefixes.isdisjoint(line):
             for k, block in enumerate(blocks(line)):
                 held = set(block)
@@ -109,10 +142,19 @@ def scan(text: str | None, templates: Templates, phrases) -> dict:
                     labels.add(templates.labels[t])
                     score = max(score, share)
                     at = n + k * (WINDOW // 2)
+                    whole[t].append((at, at + len(block) - 1, share))
                     spans.append({"label": templates.labels[t], "first_word": at, "last_word": at + len(block) - 1, "containment": share})
         n += len(line)
+    for t, found in whole.items():
+        own = templates.words[t]
+        for first, last, common in windows(words, own, templates.sizes[t], templates.needed[t]):
+            share = common / len(own)
+            if not any(a <= first and last <= z and share <= held for a, z, held in found):  # a line block told of it
+                labels.add(templates.labels[t])
+                score = max(score, share)
+                spans.append({"label": templates.labels[t], "first_word": first, "last_word": last, "containment": share})
     return {
-        "n_words": n, "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),
+        "n_words": len(words), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),
         "base_labels": ",".join(sorted(base_labels)), "labels": ",".join(sorted(labels | base_labels)), "score": max(score, 1.0 if places else 0.0), "spans": spans,
     }
 

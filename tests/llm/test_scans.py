@@ -240,6 +240,27 @@ def test_license_blocks_equal_brute_force(spark):
         assert got[i] == ",".join(sorted(want))
 
 
+@pytest.mark.parametrize("width", [20, 50, 75])
+def test_wrapped_notices_are_found(spark, width):
+    import textwrap
+
+    long = " ".join(f"clause{i}" for i in range(150))  # more distinct words than a line's block holds
+    given = (*licenses.TEMPLATES, ("long", long))
+    rows = []
+    for i, (_, text) in enumerate(given):
+        wrapped = textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False)
+        rows += [(3 * i, "\n".join(wrapped)), (3 * i + 1, "Some code\n\n" + "\n".join(f" * {x}" for x in wrapped) + "\n\nmore code"), (3 * i + 2, text)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), given).collect()}
+    for i, text in rows:
+        label, template = given[i // 3]
+        r, n = got[i], len(licenses.plain(template).split())
+        assert label in r.labels.split(",") and r.score == 1 and r.n_words == len(licenses.plain(text).split())
+        first = 2 if i % 3 == 1 else 0
+        assert any(s.label == label and s.containment == 1 and s.first_word <= first and s.last_word >= first + n - 1 for s in r.spans)
+    scattered = spark.createDataFrame([(0, " filler\n".join(licenses.TEMPLATES[10][1].split() * 2))], "doc_id long, text string")
+    assert [r.labels for r in licenses.scan_licenses(scattered).collect()] == [""]
+
+
 # toxicity
 
 
