@@ -82,8 +82,8 @@ def shingles(flat: np.ndarray, lengths: np.ndarray, words: int = WORDS) -> tuple
     return h[new], np.bincount(owner[new], minlength=len(lengths))
 
 
-def chunk_rows(ids: list, texts: list, chunk: int, buckets: int, hashes: WordHashes, words: int):
-    """A chunk's own row (kind 0) and its questions to the buckets (kind 1)."""
+def chunk_rows(ids: list, texts: list, marks: list[list], chunk: int, buckets: int, hashes: WordHashes, words: int):
+    """A chunk's own row (kind 0) and its questions to the buckets (kind 1); marks: two hashes of each text."""
     import xxhash
 
     flat, lengths = hash_texts(texts, hashes)
@@ -112,7 +112,7 @@ def chunk_rows(ids: list, texts: list, chunk: int, buckets: int, hashes: WordHas
     cells = np.bincount(bucket, minlength=buckets)
     missing = np.array([i is None for i in ids], np.uint8)
     numbers = np.array([0 if i is None else i for i in ids], np.int64)
-    yield {"kind": 0, "to": chunk, "chunk": chunk, "body": pack(numbers, missing, sizes, prints.reshape(-1), of, cells.astype(np.uint32), step)}
+    yield {"kind": 0, "to": chunk, "chunk": chunk, "body": pack(numbers, missing, *(np.array(m, np.int64) for m in marks), sizes, prints.reshape(-1), of, cells.astype(np.uint32), step)}
     low, at = distinct & np.uint64((1 << LOW) - 1), 0
     for b in np.flatnonzero(cells).tolist():
         n = int(cells[b])
@@ -138,7 +138,7 @@ def answer(rows: list[dict]):
 def documents_of(rows: list[dict], percent: int):
     """A chunk's documents with size and class; a set that may link comes with its shared shingles once."""
     own = next(r for r in rows if r["kind"] == 0)
-    ids, missing, sizes, prints, of, cells, step = unpack(own["body"])
+    ids, missing, t0, t1, sizes, prints, of, cells, step = unpack(own["body"])
     starts = np.concatenate([[0], np.cumsum(cells.astype(np.int64))])
     frequency = np.ones(starts[-1], np.uint8)
     value = np.zeros(starts[-1], np.uint64)
@@ -160,7 +160,7 @@ def documents_of(rows: list[dict], percent: int):
             shared = f >= 2
             if int(shared.sum()) >= need(n, percent):
                 body = pack(deltas(value[number[shared]]), f[shared])
-        yield {"doc_id": None if missing[d] else int(ids[d]), "n": n, "p0": int(prints[d, 0]), "p1": int(prints[d, 1]), "shared": body}
+        yield {"doc_id": None if missing[d] else int(ids[d]), "t0": int(t0[d]), "t1": int(t1[d]), "n": n, "p0": int(prints[d, 0]), "p1": int(prints[d, 1]), "shared": body}
 
 
 def prefix(n: int, body: bytes, percent: int) -> np.ndarray:
@@ -297,6 +297,11 @@ def large_blocks(members: DataFrame, stars: DataFrame, large: DataFrame, percent
     return pairs, rows.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cid", "n", "part", "shared", "known")
 
 
+def marks(text):
+    """Two independent hashes of a text: with doc_id, they name a row and its exact repetitions."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, buckets: int | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs; extra columns are ignored.
 
@@ -305,6 +310,13 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, buc
     don't pass links on; rows that share a doc_id are sets of their own, each in its own component.
     Empty docs: no rows.
     """
+    return marked_groups(docs, words, percent, buckets, block).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("first.doc_id").alias("component_id"))
+
+
+def marked_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, buckets: int | None = None, block: int = BLOCK) -> DataFrame:
+    """doc_id, t0 and t1 (its marks), n and first of every row of docs; first is the group's row of the
+    smallest (doc_id, t0, t1), as a struct of those. A row in no group is its own first.
+    """
     spark = docs.sparkSession
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     work = Work(spark)
@@ -316,17 +328,21 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, buc
         hashes, at = WordHashes(), TaskContext.get().partitionId() << 24
         schema = pa.schema([("kind", pa.int32()), ("to", pa.int64()), ("chunk", pa.int64()), ("body", pa.binary())])
         for rows in row_slices(batches, CHUNK):
-            out = list(chunk_rows(rows["doc_id"], rows["text"], at, buckets, hashes, words))
+            out = list(chunk_rows(rows["doc_id"], rows["text"], [rows["t0"], rows["t1"]], at, buckets, hashes, words))
             yield pa.RecordBatch.from_pylist(out, schema=schema)
             at += 1
 
     wire = "kind int, to long, chunk long, body binary"
-    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(split, wire)
+    t0, t1 = marks(F.col("text"))
+    sent = docs.select(F.col("doc_id").cast("long"), "text", t0.alias("t0"), t1.alias("t1")).mapInArrow(split, wire)
     answered = grouped(sent, ["kind", "to"], lambda key, rows: answer(rows) if key[0] else rows, wire, size=64)
-    found = work.keep(grouped(answered, ["chunk"], lambda _, rows: documents_of(rows, percent), "doc_id long, n int, p0 long, p1 long, shared binary"))
+    found = work.keep(grouped(answered, ["chunk"], lambda _, rows: documents_of(rows, percent), "doc_id long, t0 long, t1 long, n int, p0 long, p1 long, shared binary"))
 
-    rows = found.select("doc_id", "n", "p0", "p1")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("p0", "p1", "n").agg(F.min("doc_id").alias("cid"))
+    rows = found.select("doc_id", "t0", "t1", "n", "p0", "p1")
+    own = F.struct("doc_id", "t0", "t1")
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("p0", "p1", "n").agg(F.min(own).alias("first"))
+    # a number of its own for every set: sets may share their smallest doc_id
+    classes = work.keep(classes.withColumn("cid", F.monotonically_increasing_id()))
     sets = found.where("shared is not null").groupBy("p0", "p1", "n").agg(F.first("shared").alias("shared"))
     sets = work.keep(sets.join(classes, ["p0", "p1", "n"]).select("cid", "n", "shared"))
 
@@ -355,19 +371,25 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, buc
     joined = components(links)
     work.drop(members)
 
-    named = classes.join(joined, classes.cid == joined.node, "left").select("p0", "p1", "n", F.coalesce("component", "cid").alias("component_id"))
+    joined = work.keep(joined.join(classes, joined.node == classes.cid).select("node", "component", "first"))
+    firsts = joined.groupBy("component").agg(F.min("first").alias("least"))
+    joined = joined.join(firsts, "component").select("node", "least")
+    named = classes.join(joined, classes.cid == joined.node, "left").select("p0", "p1", "n", F.coalesce("least", "first").alias("first"))
     linked = rows.where("n > 0 and doc_id is not null").join(named, ["p0", "p1", "n"])
-    alone = rows.where("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
-    return linked.unionByName(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    alone = rows.where("n = 0 or doc_id is null").withColumn("first", own)
+    return linked.unionByName(alone).select("doc_id", "t0", "t1", "n", "first")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with the document of the smallest doc_id of each group; all columns as they were.
 
-    Rows without doc_id stay. Rows that repeat both doc_id and text stay once.
+    Rows without doc_id stay. Rows that repeat both doc_id and text stay once. Of a group's different texts
+    under its smallest doc_id one stays. What else a doc_id holds is judged by itself.
     """
-    others = near_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("other")).distinct()
-    left = docs.join(others, docs["doc_id"] == others["other"], "left_anti")
+    others = marked_groups(docs).where(F.struct("doc_id", "t0", "t1") != F.col("first")).where("doc_id is not null")
+    others = others.select(F.col("doc_id").alias("other"), F.col("t0").alias("other0"), F.col("t1").alias("other1")).distinct()
+    t0, t1 = marks(docs["text"])
+    left = docs.join(others, (docs["doc_id"] == others["other"]) & (t0 == others["other0"]) & (t1 == others["other1"]), "left_anti")
     ids = docs.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("d")).first()
     if ids["n"] > ids["d"]:
         known = left.where("doc_id is not null").dropDuplicates(["doc_id", "text"])

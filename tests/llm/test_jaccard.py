@@ -95,3 +95,20 @@ def test_one_of_each(spark):
     ids = sorted(repr(r["doc_id"]) for r in kept.collect())
     # 1, 2: one text (1 came twice); 6, 7: one text; 9, 10: one text; 8 has no group with the row without id
     assert ids == sorted(map(repr, [1, 3, 4, 5, 6, None, 8, 9, 11, -12]))
+
+
+def test_one_of_each_where_texts_share_a_doc_id(spark):
+    x, y = ([f"{c}{i}" for i in range(60)] for c in "xy")
+    near = lambda words: " ".join([*words[:-1], "other"])
+    x, nx, y, ny = " ".join(x), near(x), " ".join(y), near(y)
+    unrelated = [" ".join(f"u{k}v{i}" for i in range(20)) for k in range(3)]
+    rows = [(5, x), (7, x), (5, y), (2, y)]
+    kept = lambda rows: sorted(map(tuple, jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert kept(rows) == sorted([(5, x), (2, y)])
+    assert kept([*rows, *((7, t) for t in unrelated), (9, ny)]) == sorted([(5, x), (2, y), *((7, t) for t in unrelated)])
+    # two texts of one doc_id that are near, or one set; rows without words
+    assert len(kept([(5, x), (5, nx), (8, nx)])) == 1 and len(kept([(5, x), (5, x.upper()), (6, x)])) == 1
+    assert kept([(5, x), (5, ""), (6, ""), (4, x)]) == [(4, x), (5, ""), (6, "")]
+    # sets that share their smallest doc_id don't pass on each other's links
+    docs = spark.createDataFrame([(5, x), (5, y), (6, nx), (3, ny), (8, unrelated[0]), (5, unrelated[0])], "doc_id long, text string")
+    assert {(r[0], r[2]) for r in check(docs) if r[0] != 5} == {(6, 5), (3, 3), (8, 5)}
