@@ -6,8 +6,11 @@ the documents, and joined. A hit says which item may stand where in a document;
 then compared place by place, and a document is contaminated if WINDOW neighbouring words of an item (the
 whole item, if shorter) stand in it with at least `share` of them equal.
 
-With MASKS, every pattern of 2 substitutions in 13 words, or of 4 in 20, leaves a hit. Words: A-Z and other letters
-lower-cased, ASCII punctuation left out. Items of fewer than LEAST words are ignored. Items go to every
+With MASKS, every pattern of 2 substitutions in 13 words, or of 4 in 20, leaves a hit. An item shorter than
+WINDOW is cut into one piece more than it may have substitutions: one of them is whole wherever the item
+stands, so the pieces' hashes are its seeds and nothing is missed. Words: A-Z and other letters
+lower-cased, ASCII punctuation left out. Items of fewer than LEAST words (a single word) are ignored; items
+without item_id are searched, too. Items go to every
 task in slices of ITEM_WORDS words; a larger benchmark takes more passes, never more memory.
 """
 
@@ -24,8 +27,10 @@ from dartline.llm.common import Work, WordHashes, hash_texts, mix, plain_words,
 MASKS = ("111111", "11101011", "101000011011")
 WINDOW = 13
 SHARE = 0.8
-LEAST = 6
+LEAST = 2
 ITEM_WORDS = 500_000
+#: Places of short items that are compared at a time.
+COMPARED = 1 << 18
 #: Bits of the table that sorts out most places before the exact lookup.
 SIEVE = 24
 HITS = "array<struct<item_id long, doc_word long, item_word long, words int, equal int>>"
@@ -50,71 +55,109 @@ def seeds(flat: np.ndarray, segment: np.ndarray, mask: str) -> tuple[np.ndarray,
         return mix(h[at]), at
 
 
+class Seeds:
+    """Hashes of the items' seeds of one mask, and where they stand in the items' words."""
+
+    def __init__(self, mask: str, h: np.ndarray, at: np.ndarray):
+        order = np.argsort(h, kind="stable")
+        self.mask, self.keys, self.places = mask, h[order], at[order]
+        self.sieve = np.zeros(1 << SIEVE, bool)
+        self.sieve[(h >> np.uint64(64 - SIEVE)).astype(np.int64)] = True
+
+    def found(self, flat: np.ndarray, segment: np.ndarray, most: int | None = None):
+        """Pairs (document places, item places) of equal seeds, `most` at a time."""
+        h, at = seeds(flat, segment, self.mask)
+        likely = np.flatnonzero(self.sieve[(h >> np.uint64(64 - SIEVE)).astype(np.int64)])
+        h, at = h[likely], at[likely]
+        low, high = np.searchsorted(self.keys, h), np.searchsorted(self.keys, h, side="right")
+        ends = np.cumsum(high - low)
+        total = int(ends[-1]) if len(ends) else 0
+        for start in range(0, total, most or max(total, 1)):
+            k = np.arange(start, min(total, start + (most or total)))
+            i = np.searchsorted(ends, k, side="right")
+            yield at[i], self.places[high[i] - (ends[i] - k)]
+
+
 class Items:
     """The seeds of some items, ready to be looked up."""
 
     def __init__(self, items: list[tuple[int, str]], masks=MASKS, window: int = WINDOW, share: float = SHARE):
-        self.window, self.share, self.masks = window, share, masks
+        self.window, self.share = window, share
         hashes = WordHashes()
-        own = [(i, np.array([hashes[w] for w in ws], np.uint64)) for i, t in sorted(items, key=lambda x: (x[0], x[1] or "")) if len(ws := item_words(t)) >= LEAST]
-        self.ids = np.array([i for i, _ in own], np.int64)
+        inorder = sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
+        own = [(i, np.array([hashes[w] for w in ws], np.uint64)) for i, t in inorder if len(ws := item_words(t)) >= LEAST]
+        self.ids = [i for i, _ in own]
         lengths = np.array([len(w) for _, w in own], np.int64)
         self.words = np.concatenate([w for _, w in own]) if own else np.zeros(0, np.uint64)
         self.starts = np.cumsum(lengths) - lengths
         self.lengths, self.of = lengths, segment_ids(lengths)
-        self.keys, self.places, self.sieve = [], [], []
+        self.masks, self.pieces = [], []
         for m in masks:
             h, at = seeds(self.words, self.of, m)
-            order = np.argsort(h, kind="stable")
-            self.keys.append(h[order])
-            self.places.append(at[order])
-            sieve = np.zeros(1 << SIEVE, bool)
-            sieve[(h >> np.uint64(64 - SIEVE)).astype(np.int64)] = True
-            self.sieve.append(sieve)
-
-    def alignments(self, flat: np.ndarray, segment: np.ndarray) -> np.ndarray:
+            whole = lengths[self.of[at]] >= window
+            self.masks.append(Seeds(m, h[whole], at[whole]))
+        places: dict[int, list[int]] = {}
+        for first, n in zip(self.starts.tolist(), lengths.tolist(), strict=True):
+            if n < window:
+                parts = min(n, n - self.needed(n) + 1)
+                cuts = [n * k // parts for k in range(parts + 1)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    places.setdefault(b - a, []).append(first + a)
+        for n, own_places in places.items():
+            h, at = seeds(self.words, self.of, "1" * n)
+            piece = np.isin(at, own_places)
+            self.pieces.append(Seeds("1" * n, h[piece], at[piece]))
+
+    def needed(self, n: int) -> int:
+        """Equal words that a window of n must have."""
+        return math.ceil(self.share * n - 1e-9)
+
+    def enough(self, rows: np.ndarray, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Those of the alignments of short items with enough equal words."""
+        at, item, d = rows.T
+        n, equal = self.lengths[item], np.zeros(len(rows), np.int64)
+        for j in range(int(n.max())):
+            place = at + j
+            inside = (j < n) & (place >= starts[d]) & (place < ends[d])
+            equal[inside] += flat[place[inside]] == self.words[self.starts[item[inside]] + j]
+        return rows[equal >= np.ceil(self.share * n - 1e-9)]
+
+    def alignments(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Distinct (document word - item word), item and document of all hits, as rows."""
-        found = []
-        for m, keys, places, sieve in zip(self.masks, self.keys, self.places, self.sieve, strict=True):
-            h, at = seeds(flat, segment, m)
-            likely = np.flatnonzero(sieve[(h >> np.uint64(64 - SIEVE)).astype(np.int64)])
-            h, at = h[likely], at[likely]
-            low, high = np.searchsorted(keys, h), np.searchsorted(keys, h, side="right")
-            times = high - low
-            if times.sum():
-                where = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                place = places[where]
+        segment, ends, out = segment_ids(lengths), np.cumsum(lengths), []
+        for own, most in [*((m, None) for m in self.masks), *((p, COMPARED) for p in self.pieces)]:
+            for at, place in own.found(flat, segment, most):
                 item = self.of[place]
-                at = np.repeat(at, times)
-                found.append(np.stack([at - (place - self.starts[item]), item, segment[at]], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+                rows = np.stack([at - (place - self.starts[item]), item, segment[at]], 1)
+                out.append(rows if most is None else self.enough(rows, flat, ends - lengths, ends))
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
     def hits(self, flat: np.ndarray, lengths: np.ndarray) -> dict[int, list[dict]]:
         """By document (its number in lengths), the alignments that hold a window with enough equal words."""
-        segment, starts = segment_ids(lengths), np.cumsum(lengths) - lengths
+        starts = np.cumsum(lengths) - lengths
         out: dict[int, list[dict]] = {}
-        for at, item, d in self.alignments(flat, segment).tolist():
+        for at, item, d in self.alignments(flat, lengths).tolist():
             n, first = int(self.lengths[item]), int(self.starts[item])
             low, high = max(0, int(starts[d]) - at), min(n, int(starts[d] + lengths[d]) - at)
             k = min(self.window, n)
-            need = math.ceil(self.share * k - 1e-9)
+            need = self.needed(k)
             if high - low < need:
                 continue
             equal = np.zeros(n, np.int64)
             equal[low:high] = flat[at + low : at + high] == self.words[first + low : first + high]
             sums = np.concatenate([[0], np.cumsum(equal)])
             if (sums[k:] - sums[:-k]).max() >= need:
-                out.setdefault(d, []).append({"item_id": int(self.ids[item]), "doc_word": at + low - int(starts[d]), "item_word": low, "words": high - low, "equal": int(equal.sum())})
+                out.setdefault(d, []).append({"item_id": self.ids[item], "doc_word": at + low - int(starts[d]), "item_word": low, "words": high - low, "equal": int(equal.sum())})
         return out
 
 
 def slices(benchmark: DataFrame, words: int) -> list[list[tuple[int, str]]]:
     """The items in lists of about `words` words each, read one list at a time."""
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).first()["n"] or 0
     n = max(1, math.ceil(total / words))
     for k in range(n):
-        part = items.where(F.pmod(F.xxhash64(F.col("item_id").cast("string")), F.lit(n)) == k) if n > 1 else items
+        part = items.where(F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(n)) == k) if n > 1 else items
         yield [(r["item_id"], r["text"]) for r in part.collect()]
 
 
@@ -122,7 +165,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int =
     """docs, all columns, with a last column `into`: where items stand in the row's text.
 
     A null or empty text has no hits, nor has any text if the benchmark is empty. Rows that repeat are
-    searched one by one; so are the items that repeat. A column of docs of that name is replaced.
+    searched one by one; so are the items that repeat. Hits of items without id have no item_id. A column of docs of that name is replaced.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from dartline.llm import decontaminate, jaccard, langid, licenses, media, mixing, sharding, tokencount, toxicity
-from dartline.llm.common import plain_words
+from dartline.llm.common import WordHashes, hash_texts, plain_words
 from tests.llm.fixtures import awkward, empty
 
 
@@ -185,6 +185,43 @@ def test_decontamination_equals_brute_force(spark):
         assert sum(map(bool, got.values())) > 20
 
 
+def test_short_items_are_found_with_every_pattern_of_substitutions(spark):
+    items, docs, want = [], [], {}
+    for n in range(decontaminate.LEAST, decontaminate.WINDOW):
+        own = [f"i{n}w{j}" for j in range(n)]
+        items.append((n, " ".join(own)))
+        allowed = n - int(np.ceil(decontaminate.SHARE * n))
+        for k in range(allowed + 2):  # one more than allowed is no hit
+            for changed in itertools.combinations(range(n), k):
+                words = [f"x{j}" if j in changed else w for j, w in enumerate(own)]
+                for text in (words, ["before", *words, "after"]):
+                    want[len(docs)] = [n] if k <= allowed else []
+                    docs.append((len(docs), " ".join(text)))
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: [h["item_id"] for h in r["hits"]] for r in decontaminate.find_hits(table, bench).collect()}
+    assert got == want
+
+
+def test_short_items_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(decontaminate, "COMPARED", 7)
+    r = random.Random(4)
+    word = lambda: f"w{r.randrange(6)}"
+    items = [(i, " ".join(word() for _ in range(r.randrange(1, 13)))) for i in range(25)]
+    texts = [" ".join(word() for _ in range(r.randrange(25))) for _ in range(60)]
+    flat, lengths = hash_texts(texts, WordHashes(), decontaminate.item_words)
+    hits = decontaminate.Items(items).hits(flat, lengths)
+    assert [{h["item_id"] for h in hits.get(d, [])} for d in range(len(texts))] == [contaminated(t, items) for t in texts]
+
+
+def test_items_without_id_are_searched(spark):
+    bench = spark.createDataFrame([(None, "a b c d e f g h"), (None, " ".join(f"v{i}" for i in range(20))), (1, "p q r")], "item_id long, text string")
+    docs = spark.createDataFrame([(0, "x a b c d e f g h y"), (1, " ".join(f"v{i}" for i in range(20))), (2, "p q r"), (3, "a b p")], "doc_id long, text string")
+    for at_once in (10**6, 4):
+        got = {r["doc_id"]: [h["item_id"] for h in r["hits"]] for r in decontaminate.find_hits(docs, bench, item_words_at_once=at_once).collect()}
+        assert got == {0: [None], 1: [None], 2: [1], 3: []}
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [3]
+
+
 def test_clean_keeps_columns_and_awkward_rows(spark):
     docs = awkward(spark)
     bench = spark.createDataFrame([(1, "quick brown fox jumps over the lazy"), (1, None)], "item_id long, text string")
