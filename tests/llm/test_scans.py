@@ -7,6 +7,7 @@ import random
 import re
 import tarfile
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -56,43 +57,69 @@ def test_known_words_come_before_grams():
 # media columns
 
 
-def test_media_columns_of_awkward_rows(spark):
-    docs = awkward(spark)
-    shards = media.pack_shards(docs.coalesce(1), size=50_000)
-    rows = media.read_media(shards).collect()
-    assert len(rows) == docs.count()
-    want = {}
+def plain_feature(x):
+    crossings = sum((a >= 128) != (b >= 128) for a, b in zip(x, x[1:]))
+    return f"mean={sum(x) // len(x)};peak={max(x)};crossings={crossings}"
+
+
+@pytest.mark.parametrize("size", [50_000, media.SHARD])
+def test_media_columns_of_awkward_rows(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(media, "SLICE", 10_000)
+    docs, folder = awkward(spark).withColumn("digest", F.lit("x")), f"{tmp_path}/shards"
+    packed = media.pack_shards(docs.repartition(3), folder, size=size)
+    places = media.catalog(packed)
+    rows = media.media_rows(packed, media.read_media(places, folder)).collect()
+    want = Counter()
     for d in docs.collect():
         body = (d["text"] or "").encode()
         payload = body + bytes(-len(body) % 64 or (0 if body else 64))
-        want.setdefault(d["doc_id"], []).append((len(body), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])))
-    got = {}
+        want[d["doc_id"], len(body), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), plain_feature(payload)] += 1
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) for r in rows) == want
+    # a digest has one place over all shards; shards are tar files, and the places point into them
+    where = {(r.digest, r.shard, r.offset, r.length): r.media_sha256 for r in rows}
+    assert len(where) == len({r.digest for r in rows}) and len({r.shard for r in rows}) > 1
+    for (digest, shard, offset, length), sha in where.items():
+        body = open(f"{folder}/{shard}", "rb").read()
+        with tarfile.open(fileobj=io.BytesIO(body)) as f:
+            assert (f"{digest}.png", offset, length) in {(m.name, m.offset_data, m.size) for m in f.getmembers()}
+        own = body[offset : offset + length]
+        assert hashlib.sha256(own).hexdigest() == sha and hashlib.sha256(media.read_samples(own)).hexdigest() == digest
     for r in rows:
-        got.setdefault(r.doc_id, []).append((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32))
-        assert r.digest == r.payload_sha256 and r.samples == r.payload_bytes and (r.channels, r.bits) == (1, 8) and r.media_bytes == r.length
-    assert got == want
-    # a shard is a tar file, and the places point into it
-    places = {(r.shard, r.offset, r.length): r.media_sha256 for r in rows}
-    held = {s["shard"]: bytes(s["body"]) for s in shards.collect()}
-    assert len(held) > 1
-    for (shard, offset, length), digest in places.items():
-        assert hashlib.sha256(held[shard][offset : offset + length]).hexdigest() == digest
-    for shard, body in held.items():
-        members = tarfile.open(fileobj=io.BytesIO(body)).getmembers()
-        assert {(m.offset_data, m.size) for m in members} == {(o, n) for s, o, n in places if s == shard}
-    catalog = media.catalog(shards).collect()
-    assert {c["digest"] for c in catalog} == {r.digest for r in rows} and sum(c["rows"] for c in catalog) == len(rows)
-    assert media.read_media(media.pack_shards(empty(spark))).collect() == []
-
-
-def test_wav_is_read_by_the_standard_library(spark):
-    import wave
-
-    body = media.wav(bytes(range(64)))
-    with wave.open(io.BytesIO(body)) as f:
-        assert f.readframes(100) == bytes(range(64)) and f.getparams()[:3] == (1, 1, media.RATE)
+        assert r.digest == r.payload_sha256 and r.samples == r.payload_bytes == r.width * r.height and (r.width, r.bits) == (64, 8) and r.media_bytes == r.length
+    assert {(r.digest, r.height) for r in media.read_metadata(places, folder).collect()} == {(r.digest, r.height) for r in rows}
+    none = media.pack_shards(empty(spark), folder)
+    assert media.media_rows(none, media.read_media(media.catalog(none), folder)).collect() == []
+
+
+def test_metadata_needs_the_header_only(spark, tmp_path):
+    """With all bytes but the headers overwritten, the metadata columns are the same; the payload is not read."""
+    folder = f"{tmp_path}/shards"
+    places = media.catalog(media.pack_shards(awkward(spark).coalesce(1), folder))
+    want = sorted(map(tuple, media.read_metadata(places, folder).collect()))
+    for p in places.collect():
+        with open(f"{folder}/{p.shard}", "r+b") as f:
+            f.seek(p.offset + media.HEAD)
+            f.write(bytes(p.length - media.HEAD))
+    assert sorted(map(tuple, media.read_metadata(places, folder).collect())) == want
+    with pytest.raises(Exception, match="damaged"):
+        media.read_media(places, folder).collect()
+
+
+def test_pictures_are_read_back():
+    for n in (64, 128, 6400):
+        samples = bytes(random.Random(n).randrange(256) for _ in range(n))
+        assert media.read_samples(media.png(samples)) == samples
     with pytest.raises(ValueError):
-        media.read_header(b"x" * 44)
+        media.read_header(b"x" * media.HEAD)
+
+
+def test_media_query(spark, sf):
+    rows = media.op3_media_columns(spark, sf).collect()
+    docs = {r.doc_id: (r.text or "").encode() for r in documents(spark, sf).collect()}
+    assert len(rows) == len(docs)
+    for r in rows:
+        payload = docs[r.doc_id] + bytes(-len(docs[r.doc_id]) % 64 or (0 if docs[r.doc_id] else 64))
+        assert (r.n_bytes, r.payload_sha256, r.feature) == (len(docs[r.doc_id]), hashlib.sha256(payload).hexdigest(), plain_feature(payload))
 
 
 # token counts
