@@ -8,26 +8,27 @@ whole item, if shorter) stand in it with at least `share` of them equal.
 
 With MASKS, every pattern of 2 substitutions in 13 words, or of 4 in 20, leaves a hit. An item shorter than
 WINDOW is cut into one piece more than it may have substitutions: one of them is whole wherever the item
-stands, so the pieces' hashes are its seeds and nothing is missed. Words: A-Z and other letters
-lower-cased, ASCII punctuation left out. Items of fewer than LEAST words (a single word) are ignored; items
-without item_id are searched, too. Items go to every
-task in slices of ITEM_WORDS words; a larger benchmark takes more passes, never more memory.
+stands, so the pieces' hashes are its seeds and nothing is missed, whatever its length: recall is 1 from one
+word on. Words: A-Z and other letters lower-cased, ASCII punctuation left out. Items without item_id are
+searched, too; items without words stand nowhere. Items go to every task in slices of about ITEM_WORDS
+words, an item longer than that in pieces that overlap by a window: a larger benchmark takes more passes, never
+more memory.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dartline.llm.common import Work, WordHashes, hash_texts, mix, plain_words, row_slices, segment_ids, table
+from dartline.llm.common import Work, WordHashes, hash_texts, mapped, mix, plain_words, row_slices, segment_ids, table
 
 MASKS = ("111111", "11101011", "101000011011")
 WINDOW = 13
 SHARE = 0.8
-LEAST = 2
 ITEM_WORDS = 500_000
 #: Places of short items that are compared at a time.
 COMPARED = 1 << 18
@@ -81,14 +82,15 @@ class Seeds:
 class Items:
     """The seeds of some items, ready to be looked up."""
 
-    def __init__(self, items: list[tuple[int, str]], masks=MASKS, window: int = WINDOW, share: float = SHARE):
+    def __init__(self, items: list[tuple], masks=MASKS, window: int = WINDOW, share: float = SHARE):
+        """items: id, text and, for a piece of a long item, its first word's place in it."""
         self.window, self.share = window, share
         hashes = WordHashes()
-        inorder = sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
-        own = [(i, np.array([hashes[w] for w in ws], np.uint64)) for i, t in inorder if len(ws := item_words(t)) >= LEAST]
-        self.ids = [i for i, _ in own]
-        lengths = np.array([len(w) for _, w in own], np.int64)
-        self.words = np.concatenate([w for _, w in own]) if own else np.zeros(0, np.uint64)
+        inorder = sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "", *x[2:]))
+        own = [(i, at, np.array([hashes[w] for w in ws], np.uint64)) for i, t, *at in inorder if (ws := item_words(t))]
+        self.ids, self.offsets = [i for i, _, _ in own], [sum(at) for _, at, _ in own]
+        lengths = np.array([len(w) for _, _, w in own], np.int64)
+        self.words = np.concatenate([w for _, _, w in own]) if own else np.zeros(0, np.uint64)
         self.starts = np.cumsum(lengths) - lengths
         self.lengths, self.of = lengths, segment_ids(lengths)
         self.masks, self.pieces = [], []
@@ -147,25 +149,34 @@ class Items:
             equal[low:high] = flat[at + low : at + high] == self.words[first + low : first + high]
             sums = np.concatenate([[0], np.cumsum(equal)])
             if (sums[k:] - sums[:-k]).max() >= need:
-                out.setdefault(d, []).append({"item_id": self.ids[item], "doc_word": at + low - int(starts[d]), "item_word": low, "words": high - low, "equal": int(equal.sum())})
+                out.setdefault(d, []).append({"item_id": self.ids[item], "doc_word": at + low - int(starts[d]), "item_word": self.offsets[item] + low, "words": high - low, "equal": int(equal.sum())})
         return out
 
 
-def slices(benchmark: DataFrame, words: int) -> list[list[tuple[int, str]]]:
-    """The items in lists of about `words` words each, read one list at a time."""
+def item_pieces(rows, words: int, window: int):
+    """Items as pieces of at most words + window - 1 words: a window of an item is whole in one of them."""
+    for r in rows:
+        own = item_words(r["text"])
+        for at in range(0, max(len(own) - window, 0) + 1, words):
+            yield {"item_id": r["item_id"], "at": at, "words": min(len(own) - at, words + window - 1), "text": b" ".join(own[at : at + words + window - 1]).decode("utf-8", "surrogatepass")}
+
+
+def slices(benchmark: DataFrame, words: int, window: int = WINDOW) -> Iterator[list[tuple]]:
+    """The items' pieces in lists of about `words` words each, read one list at a time."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
-    total = items.agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).first()["n"] or 0
-    n = max(1, math.ceil(total / words))
+    pieces = Work(benchmark.sparkSession).keep(mapped(items, lambda rows: item_pieces(rows, max(words, window), window), "item_id long, at long, words long, text string", size=64))
+    n = max(1, math.ceil((pieces.agg(F.sum("words").alias("n")).first()["n"] or 0) / words))
     for k in range(n):
-        part = items.where(F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(n)) == k) if n > 1 else items
-        yield [(r["item_id"], r["text"]) for r in part.collect()]
+        part = pieces.where(F.pmod(F.xxhash64(F.col("item_id").cast("string"), "at", "text"), F.lit(n)) == k) if n > 1 else pieces
+        yield [(r["item_id"], r["text"], r["at"]) for r in part.collect()]
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = WINDOW, share: float = SHARE, item_words_at_once: int = ITEM_WORDS, into: str = "hits") -> DataFrame:
     """docs, all columns, with a last column `into`: where items stand in the row's text.
 
     A null or empty text has no hits, nor has any text if the benchmark is empty. Rows that repeat are
-    searched one by one; so are the items that repeat. Hits of items without id have no item_id. A column of docs of that name is replaced.
+    searched one by one; so are the items that repeat. Hits of items without id have no item_id. A passage that runs
+    over two pieces of a very long item is one hit in each. A column of docs of that name is replaced.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -175,7 +186,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int =
     schema = StructType.fromDDL(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema))
     arrow = to_arrow_schema(schema)
     work, held = Work(spark), None
-    for items in slices(benchmark, item_words_at_once):
+    for items in slices(benchmark, item_words_at_once, window):
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches, sent=sent):

@@ -175,7 +175,7 @@ def contaminated(text, items, window=decontaminate.WINDOW, share=decontaminate.S
     for i, t in items:
         item = plain_words(t.lower())
         k = min(window, len(item))
-        if len(item) < decontaminate.LEAST:
+        if not item:
             continue
         for at in range(-len(item), len(words)):
             equal = [0 <= at + j < len(words) and words[at + j] == w for j, w in enumerate(item)]
@@ -188,7 +188,7 @@ def contaminated(text, items, window=decontaminate.WINDOW, share=decontaminate.S
 def test_decontamination_equals_brute_force(spark):
     r = random.Random(3)
     word = lambda: f"w{r.randrange(300)}"
-    items = [(i, " ".join(word() for _ in range(r.randrange(4, 45)))) for i in range(12)]
+    items = [(i, " ".join(word() for _ in range(r.randrange(2, 45)))) for i in range(12)]
     docs = []
     for i in range(150):
         words = [word() for _ in range(r.randrange(0, 60))]
@@ -200,21 +200,19 @@ def test_decontamination_equals_brute_force(spark):
             at = r.randrange(len(words) + 1)
             words[at:at] = [w.upper() + "," for w in own]
         docs.append((i, " ".join(words)))
-    bench = spark.createDataFrame([*items, (None, "a b c d e f g h"), (90, None), (91, ""), (92, "w1")], "item_id long, text string")
+    bench = spark.createDataFrame([*items, (None, "a b c d e f g h"), (90, None), (91, "")], "item_id long, text string")
     table = spark.createDataFrame([*docs, (None, items[5][1]), (500, None), (501, "")], "doc_id long, text string")
     for at_once in (10**6, 60):
         got = {(r["doc_id"], r["text"]): {h["item_id"] for h in r["hits"]} for r in decontaminate.find_hits(table, bench, item_words_at_once=at_once).collect()}
         for (doc_id, text), found in got.items():
             want = contaminated(text, items)
-            # every pair of a long item is certain; a short item's window may hold too few words for a seed
-            lengths = dict((i, len(t.split())) for i, t in items)
-            assert found <= want and {i for i in want if lengths[i] >= decontaminate.WINDOW} <= found
+            assert found == want
         assert sum(map(bool, got.values())) > 20
 
 
 def test_short_items_are_found_with_every_pattern_of_substitutions(spark):
     items, docs, want = [], [], {}
-    for n in range(decontaminate.LEAST, decontaminate.WINDOW):
+    for n in range(1, decontaminate.WINDOW):
         own = [f"i{n}w{j}" for j in range(n)]
         items.append((n, " ".join(own)))
         allowed = n - int(np.ceil(decontaminate.SHARE * n))
@@ -240,6 +238,35 @@ def test_short_items_equal_brute_force(monkeypatch):
     assert [{h["item_id"] for h in hits.get(d, [])} for d in range(len(texts))] == [contaminated(t, items) for t in texts]
 
 
+def test_query_of_items_equals_brute_force(spark, sf):
+    """n_items, items and contaminated against all items at all places."""
+    docs, items = documents(spark, sf), [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows = {r["doc_id"]: r for r in decontaminate.op8_decontamination(spark, sf).collect()}
+    texts = docs.select("doc_id", "text").collect()
+    # items that share no run of two words, or no word if short, can't stand in a text
+    grams = lambda words: set(zip(words, words[1:])) if len(words) > 1 else set(words)
+    own = [(i, t, grams(plain_words(t.lower()))) for i, t in items]
+    assert len(rows) == len(texts)
+    for d in texts:
+        held = grams(plain_words(d["text"].lower())) if d["text"] else set()
+        want = contaminated(d["text"], [(i, t) for i, t, g in own if g & held])
+        r = rows[d["doc_id"]]
+        assert (r["items"], r["n_items"], r["contaminated"]) == (sorted(want), len(want), bool(want))
+    assert any(r["contaminated"] for r in rows.values())
+
+
+def test_long_items_are_searched_in_pieces(spark):
+    own = [f"v{i}" for i in range(100)]
+    bench = spark.createDataFrame([(1, " ".join(own)), (2, "v3")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(["x", *own[i : i + 13], "y"])) for i in range(88)] + [(99, " ".join(own[5:15])), (100, "v4 v3")], "doc_id long, text string")
+    for at_once in (10**6, 20, 13):
+        got = {r["doc_id"]: r["hits"] for r in decontaminate.find_hits(docs, bench, item_words_at_once=at_once).collect()}
+        for i in range(88):
+            hits = [h for h in got[i] if h["item_id"] == 1]
+            assert hits and all(h["doc_word"] - 1 == h["item_word"] - i for h in hits) and max(h["equal"] for h in hits) == 13
+        assert got[99] == [] and [h["item_id"] for h in got[100]] == [2]
+
+
 def test_items_without_id_are_searched(spark):
     bench = spark.createDataFrame([(None, "a b c d e f g h"), (None, " ".join(f"v{i}" for i in range(20))), (1, "p q r")], "item_id long, text string")
     docs = spark.createDataFrame([(0, "x a b c d e f g h y"), (1, " ".join(f"v{i}" for i in range(20))), (2, "p q r"), (3, "a b p")], "doc_id long, text string")
