@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that none of the columns has, whatever the case of its letters."""
+    return "_" * (1 + max((len(c) for c in columns), default=0)) + name
+
+
 def crc_fold(doc_id, n: int):
     """crc32 of doc_id as text, modulo n; null: null."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n

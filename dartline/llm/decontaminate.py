@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dartline.llm.common import Work, WordHashes, hash_texts, mapped, mix, plain_words, row_slices, segment_ids, table
+from dartline.llm.common import Work, WordHashes, fresh, hash_texts, mapped, mix, plain_words, row_slices, segment_ids, table
 
 MASKS = ("111111", "11101011", "101000011011")
 WINDOW = 13
@@ -207,7 +207,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int =
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without contaminated rows, all columns as they were. No shuffle."""
-    into = "_hits" + "_" * max(map(len, docs.columns))
+    into = fresh(docs.columns, "hits")
     return find_hits(docs, benchmark, into=into).where(F.size(into) == 0).drop(into)
 
 

@@ -1,10 +1,16 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
-The words of each source, its documents one after another in the order of a hash, are packed into
-blocks of BLOCK words. A source's share of the mix is a number of slots. Slot j takes the block at
-place p_e(j mod N) of the source's N blocks, where p_e is a pseudorandom permutation for each pass e
-over the source: every block is taken once before any is taken again. Each slot also draws an output
-shard; given the slots of every source, that is a multinomial draw of source counts for each shard.
+1. The words of each source, its documents one after another in the order of a hash, are packed into
+   blocks of BLOCK words. A source's target is a number of slots, one for each block to be taken.
+2. How many slots of a source an output shard gets is a multinomial draw: each of the source's slots
+   throws for a shard, by a hash, and the throws are counted. Given the targets, these are the counts that
+   shards have when each draws its sources by the weights; the sums by source are exact, so no source
+   strays from its target and none is taken more often than it may be.
+3. The counts are laid end to end: the slots of a source in a shard are a run of index numbers. Index j
+   maps to the block at place p_e(j mod N) of the source's N blocks, where p_e is a pseudorandom
+   permutation for each pass e over the source: every block is taken once before any is taken again.
+4. Blocks are joined by index: `taken` are a document's words in the blocks taken, `out_shards` the
+   shards that they go to.
 """
 
 from __future__ import annotations
@@ -13,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dartline.llm.common import WORD, Work, table
+from dartline.functions.rng import raw52, raw52_sql
+from dartline.llm.common import WORD, Work, fresh, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -67,14 +74,32 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     return out.withColumn("slots", F.least(quota.cast("long"), F.col("blocks") * most)).select("source", "_rank", "source_size", "weight", "target", "blocks", "slots")
 
 
-def draws(sources: DataFrame, out_shards: int = OUT_SHARDS) -> DataFrame:
-    """One row for each slot of the mix: _rank of its source, slot, block taken, out_shard."""
-    n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: the few rows that go in become many
-    parts = sources.where("slots > 0").select("_rank", "blocks", "slots", F.explode(F.expr("sequence(0L, slots - 1, 16384L)")).alias("_part"))
-    each = parts.repartition(n, "_rank", "_part").select("_rank", "blocks", F.explode(F.expr("sequence(_part, least(_part + 16384L, slots) - 1)")).alias("slot"))
+def exploded(rows: DataFrame, first: str, last: str, *columns: str) -> DataFrame:
+    """The columns with each slot of first..last-1, in two steps: no array is longer than 2^14."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: the few rows that go in become many
+    runs = rows.where(f"{last} > {first}").select(*columns, F.col(last).alias("_last"), F.explode(F.expr(f"sequence({first}, {last} - 1, 16384L)")).alias("_run"))
+    return runs.repartition(n, *columns, "_run").select(*columns, F.explode(F.expr("sequence(_run, least(_run + 16384L, _last) - 1)")).alias("slot"))
+
+
+def shard_counts(sources: DataFrame, out_shards: int = OUT_SHARDS) -> DataFrame:
+    """_rank, blocks, out_shard, first, last: the run of a source's slots that an output shard gets.
+
+    Every slot of a source throws for a shard by 52 bits of a hash: multinomial counts. At most out_shards rows
+    a source; slots are counted before they are shuffled.
+    """
+    each = exploded(sources.withColumn("_zero", F.lit(0).cast("long")), "_zero", "slots", "_rank", "blocks")
+    shard = raw52("shard", F.col("_rank"), F.col("slot")) % out_shards
+    counts = each.groupBy("_rank", "blocks", shard.cast("int").alias("out_shard")).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("_rank").orderBy("out_shard").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.sum("_n").over(w)
+    return counts.select("_rank", "blocks", "out_shard", (last - F.col("_n")).alias("first"), last.alias("last"))
+
+
+def draws(counts: DataFrame) -> DataFrame:
+    """One row for each slot of the mix: _rank of its source, out_shard, slot and the block that it takes."""
+    each = exploded(counts, "first", "last", "_rank", "blocks", "out_shard")
     moved = F.expr(shuffled("slot % blocks", "blocks", "(_rank * 31 + slot div blocks)"))
-    shard = F.expr(f"((((slot % {PRIME}) * 48271 + _rank * 7919) % {PRIME}) * 16807 % {PRIME}) % {int(out_shards)}")
-    return each.select("_rank", "slot", moved.alias("block"), shard.alias("out_shard"))
+    return each.select("_rank", "out_shard", "slot", moved.alias("block"))
 
 
 def spans(docs: DataFrame, buckets: int) -> DataFrame:
@@ -95,9 +120,10 @@ def spans(docs: DataFrame, buckets: int) -> DataFrame:
     return joined.select("doc_id", "source", "size", (F.col("_before") + F.col("_inside")).alias("start"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, buckets: int | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every row of docs.
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, buckets: int | None = None, out_shards: int = OUT_SHARDS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken and out_shards of every row of docs.
 
+    out_shards: the output shards that take words of the row, ascending and joined by commas.
     size: words of the text, 0 for null. A null source is a source of its own, the last. Documents
     without words are taken 0 times. taken never exceeds most * size, as no block is taken more than
     `most` times. Rows that repeat are documents of their own. Empty docs: no rows.
@@ -105,7 +131,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = spans(docs, buckets)
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    taken = draws(sources).groupBy("_rank", "block").agg(F.count("*").alias("_times"))
+    counts = Work(docs.sparkSession).keep(shard_counts(sources, out_shards))  # a few rows a source, read twice at least
+    taken = draws(counts).groupBy("_rank", "block").agg(F.count("*").alias("_times"), F.collect_set("out_shard").alias("_to"))  # `most` at most
     ids = sources.select(F.col("source").alias("_s"), "_rank", "source_size", "target")
     rows = rows.join(ids, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("_row", F.struct("doc_id", "source", "size", "source_size", "target", "start"))
@@ -113,9 +140,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     runs = rows.where("size > 0").select("_row", "_rank", F.explode(F.expr(f"sequence(start div {BLOCK}, (start + size - 1) div {BLOCK}, 16384L)")).alias("_run"))
     parts = runs.select("_row", "_rank", F.explode(F.expr(f"sequence(_run, least(_run + 16383L, (_row.start + _row.size - 1) div {BLOCK}))")).alias("block"))
     held = F.least(F.col("_row.start") + F.col("_row.size"), (F.col("block") + 1) * BLOCK) - F.greatest(F.col("_row.start"), F.col("block") * BLOCK)
-    full = parts.join(taken.hint("merge"), ["_rank", "block"], "left").groupBy("_row").agg(F.sum(held * F.coalesce("_times", F.lit(0))).alias("taken"))
-    empty = rows.where("size = 0").select("_row", F.lit(0).cast("long").alias("taken"))
-    return full.unionByName(empty).select("_row.doc_id", "_row.source", "_row.size", "_row.source_size", "_row.target", "taken")
+    full = parts.join(taken.hint("merge"), ["_rank", "block"], "left").groupBy("_row").agg(F.sum(held * F.coalesce("_times", F.lit(0))).alias("taken"), F.collect_set("_to").alias("_to"))
+    to = F.array_join(F.array_sort(F.array_distinct(F.flatten("_to"))).cast("array<string>"), ",").alias("out_shards")
+    full = full.select("_row", "taken", to)
+    empty = rows.where("size = 0").select("_row", F.lit(0).cast("long").alias("taken"), F.lit("").alias("out_shards"))
+    return full.unionByName(empty).select("_row.doc_id", "_row.source", "_row.size", "_row.source_size", "_row.target", "taken", "out_shards")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -126,14 +155,15 @@ def mixed(docs: DataFrame) -> DataFrame:
     don't come. Rows that share doc_id and source share their t and n.
     """
     spark = docs.sparkSession
-    taken = mix(docs).groupBy("doc_id", "source").agg(F.sum("taken").alias("_t"), F.sum("size").alias("_n")).where("_t > 0")
-    taken = taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), (F.col("_t") / F.col("_n")).alias("_share"))
-    draw = place(F.concat(F.lit("mixed:"), F.coalesce(F.col("_d").cast("string"), F.lit("")))) / F.lit(2.0**52)
-    copies = Work(spark).keep(taken.withColumn("_copies", F.floor(F.col("_share") + draw).cast("int")).where("_copies > 0").drop("_share"))
+    d, s, copies, copy = (fresh(docs.columns, c) for c in ("id", "source", "copies", "copy"))
+    taken = mix(docs).groupBy("doc_id", "source").agg(F.sum("taken").alias("t"), F.sum("size").alias("n")).where("t > 0")
+    taken = taken.select(F.col("doc_id").alias(d), F.col("source").alias(s), (F.col("t") / F.col("n")).alias(copies))
+    draw = place(F.concat(F.lit("mixed:"), F.coalesce(F.col(d).cast("string"), F.lit("")))) / F.lit(2.0**52)
+    times = Work(spark).keep(taken.withColumn(copies, F.floor(F.col(copies) + draw).cast("int")).where(F.col(copies) > 0))
     # the copies grow with the documents: never broadcast
-    rows = docs.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")))
-    rows = rows.where(F.regexp_count("text", F.lit(WORD)) > 0).withColumn("_copy", F.explode(F.expr("sequence(1, _copies)")))
-    return rows.drop("_d", "_s", "_copies", "_copy")
+    rows = docs.join(times.hint("merge"), docs["doc_id"].eqNullSafe(times[d]) & docs["source"].eqNullSafe(times[s]))
+    rows = rows.where(F.regexp_count("text", F.lit(WORD)) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return rows.drop(d, s, copies, copy)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,6 +178,7 @@ def _sql(block: int = BLOCK) -> str:
     h = f"(({h}) * ({h}) + 16807) % {PRIME}"
     moved = f"list_reduce(list_prepend(slot % blocks, range(1, {ROUNDS + 1})), lambda a, r: CASE WHEN (({h}) // 1024) % 2 = 0 THEN a ELSE {pair} END)"
     weights = ", ".join(f"{float(w)}::DOUBLE" for w in WEIGHTS)
+    shard = f"({raw52_sql(repr('shard'), '_rank', 'slot')} % {OUT_SHARDS})::INT"
     return f"""
 WITH d AS MATERIALIZED (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
@@ -168,14 +199,18 @@ t AS (
 s AS MATERIALIZED (
   SELECT *, CASE WHEN source_size > 0 THEN least(floor(target * blocks / source_size + 0.5)::BIGINT, blocks * {MOST}) ELSE 0 END AS slots FROM t),
 g AS (SELECT s.*, unnest(range(slots)) AS slot FROM s),
-k AS MATERIALIZED (SELECT _rank, block, count(*) AS times FROM (SELECT _rank, {moved} AS block FROM g AS s) GROUP BY ALL),
+c AS (SELECT _rank, {shard} AS out_shard, count(*)::BIGINT AS n FROM g GROUP BY ALL),
+f AS (SELECT *, (sum(n) OVER (PARTITION BY _rank ORDER BY out_shard))::BIGINT AS last FROM c),
+j AS (SELECT g.*, f.out_shard FROM f JOIN (SELECT s.*, unnest(range(slots)) AS slot FROM s) AS g ON g._rank = f._rank AND g.slot >= f.last - f.n AND g.slot < f.last),
+k AS MATERIALIZED (SELECT _rank, block, count(*) AS times, list(out_shard) AS shards FROM (SELECT _rank, out_shard, {moved} AS block FROM j AS s) GROUP BY ALL),
 e AS (
   SELECT p.doc_id, p.size, p.start, p.place, s.source_size, s.target, s._rank, unnest(range(start // {block}, (start + size - 1) // {block} + 1)) AS block
   FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source WHERE size > 0)
-SELECT e.doc_id, size, source_size, target, sum((least(start + size, (e.block + 1) * {block}) - greatest(start, e.block * {block})) * coalesce(times, 0))::BIGINT AS taken
+SELECT e.doc_id, size, source_size, target, sum((least(start + size, (e.block + 1) * {block}) - greatest(start, e.block * {block})) * coalesce(times, 0))::BIGINT AS taken,
+ array_to_string(list_sort(list_distinct(flatten(list(coalesce(shards, []))))), ',') AS out_shards
 FROM e LEFT JOIN k ON k._rank = e._rank AND k.block = e.block GROUP BY e.doc_id, size, start, source_size, target, e._rank
 UNION ALL
-SELECT p.doc_id, p.size, s.source_size, s.target, 0 FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source WHERE size = 0
+SELECT p.doc_id, p.size, s.source_size, s.target, 0, '' FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source WHERE size = 0
 """
 
 
