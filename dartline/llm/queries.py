@@ -16,6 +16,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": jaccard.OP1_SQL,
+    "op4_sharding": sharding.OP4_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op9_license_scan": licenses.OP9_SQL,
 }

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dartline.functions.rng import exponential, exponential_sql, raw52, raw52_sql
 from dartline.llm.common import table
 
 SHARDS = 8
@@ -25,8 +26,7 @@ def winner(key: Column, weights: Sequence[float]) -> Column:
     bids = []
     for shard, weight in enumerate(weights):
         if weight:
-            raw = F.shiftrightunsigned(F.xxhash64(F.concat_ws(":", key, F.lit(str(shard)))), 11)
-            bids.append(F.struct((-F.log((raw + 1) / F.lit(2.0**53)) / F.lit(float(weight))).alias("bid"), F.lit(shard).alias("shard")))
+            bids.append(F.struct((exponential(key, shard) / F.lit(float(weight))).alias("bid"), F.lit(shard).alias("shard")))
     return (F.least(*bids) if len(bids) > 1 else bids[0])["shard"]
 
 
@@ -41,14 +41,14 @@ def assign(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", out:
 def slots(rows: DataFrame, buckets: int) -> DataFrame:
     """Columns of `rows` (doc_id, shard and others that can be grouped) with slot: 0, 1, ... in each shard.
 
-    No shard is ever sorted in one task: rows fall into `buckets` ranges of a hash, each range gets
-    the number of rows before it, and only a range is numbered at a time. Equal rows are counted
+    Slots go in the order of a hash of the row. No shard is ever sorted in one task: rows fall into `buckets`
+    ranges of the hash, each range gets the number of rows before it, and only a range is numbered at a time. Equal rows are counted
     first and spread again at the end, so one key with a third of all rows costs one row.
     """
     columns = rows.columns
     counted = rows.groupBy(*columns).agg(F.count("*").alias("_n"))
-    place = F.shiftrightunsigned(F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 1)
-    counted = counted.withColumn("_place", place).withColumn("_bucket", F.expr(f"int(_place % {int(buckets)})"))
+    place = raw52(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    counted = counted.withColumn("_place", place).withColumn("_bucket", F.expr(f"int(_place div {2**52 // int(buckets) + 1})"))
     # shards x buckets rows: a size that the caller sets
     sums = counted.groupBy("shard", "_bucket").agg(F.sum("_n").alias("_rows"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,3 +84,25 @@ def shard_rows(docs: DataFrame, weights: Sequence[float], grown: Sequence[float]
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
+
+
+def _sql() -> str:
+    """The same in DuckDB's SQL, except text_crc32, which is worked out byte by byte."""
+    key = "coalesce(doc_id::VARCHAR, '')"
+    best = lambda n: f"list_min([{', '.join(f'{{bid: {exponential_sql(key, str(s))}, shard: {s}}}' for s in range(n))}]).shard"
+    bits = "list_reduce(list_prepend({0}, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)"
+    columns = ("doc_id", "size", "text_crc32", "shard", "grown_shard")
+    return f"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT list(x ORDER BY i) AS x FROM (SELECT i, {bits.format("i::BIGINT")} AS x FROM range(256) r(i))),
+b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+d AS MATERIALIZED (
+  SELECT doc_id, octet_length(b)::BIGINT + 1 AS size,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(b), '..'), lambda h: ('0x' || h)::BIGINT)),
+           lambda c, x: xor(t.x[(xor(c, x) & 255) + 1], c >> 8))) AS text_crc32,
+         {best(SHARDS)} AS shard, {best(SHARDS + 1)} AS grown_shard
+  FROM b, t)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY {raw52_sql(*[f"coalesce({c}::VARCHAR, '')" for c in columns])}, doc_id, size, text_crc32, grown_shard) - 1 AS slot, grown_shard FROM d
+"""
+
+
+OP4_SQL = _sql()
