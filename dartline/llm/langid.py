@@ -4,25 +4,30 @@ A word seen in training scores by its log frequency in each language. A word nev
 its character n-grams, of LONGEST characters at first and shorter until one is known; it scores the mean
 log frequency of those that are. A text's language is the one with the highest sum over its words.
 
-Learned from a sample of at most `sample` documents of each language, the ones with the smallest hash of
-doc_id: the bound that keeps the model in memory. Identification needs no shuffle.
+Every language is learned. Each is learned from a sample, its documents with the smallest hashes of doc_id, up to
+`sample` documents, or `sample_bytes` bytes of text in all languages together over their number, whichever is
+first (one document at least): the bound that keeps the model in memory. Words are counted a language a task, and
+the counts become the model in one. Identification needs no shuffle.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dartline.llm.common import crc_fold, grouped, row_slices, table
+from dartline.llm.common import Work, crc_fold, grouped, row_slices, table
 
+#: Documents of a language that are learned at most, and bytes of text of all languages together.
 SAMPLE = 3000
-#: Languages that are learned, the most frequent first.
-LANGUAGES = 200
+SAMPLE_BYTES = 256 << 20
+#: Languages whose counts are broadcast; of more, rows are shuffled to their language's.
+BROADCAST = 100_000
 LONGEST = 5
 #: A word that training has seen less often is left to its n-grams.
 SEEN = 2
@@ -51,13 +56,17 @@ def rows_of(counts: list[Counter], least: int) -> dict:
     return {"keys": keys, "table": (table - table.mean(1, keepdims=True)).astype(np.float32)}
 
 
-def fit(rows: list[dict]) -> dict:
-    """The model of sampled rows (lang, text)."""
-    langs = sorted({r["lang"] for r in rows})
-    words = [Counter() for _ in langs]
-    at = {lang: i for i, lang in enumerate(langs)}
-    for r in rows:
-        words[at[r["lang"]]].update(letter_words(r["text"]))
+def count_words(texts: Iterable[str]) -> Counter:
+    out = Counter()
+    for text in texts:
+        out.update(letter_words(text))
+    return out
+
+
+def fit(words: dict[str, Counter]) -> dict:
+    """The model of the languages' word counts."""
+    langs = sorted(words)
+    words = [words[lang] for lang in langs]
     by_length = []
     for n in range(1, LONGEST + 1):
         counts = [Counter() for _ in langs]
@@ -116,19 +125,35 @@ class Scorer:
         return langs, scores
 
 
-def learn(docs: DataFrame, fold: int | None = 1, sample: int = SAMPLE):
-    """A broadcast model from rows with text and lang whose crc32(doc_id as text) mod 3 is not `fold`."""
+def learn(docs: DataFrame, fold: int | None = 1, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES):
+    """A broadcast model from rows with text and lang whose crc32(doc_id as text) mod 3 is not `fold`.
+
+    Rows that repeat are learned as often as they are sampled; which ones are doesn't depend on their order.
+    """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null and doc_id is not null")
     if fold is not None:
         rows = rows.where(crc_fold("doc_id", 3) != fold)
     order = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 11) / F.lit(2.0**53)
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = Work(spark).keep(rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")))
+    n = counts.count()
+    share = max(sample_bytes // max(n, 1), 1)
+    small = F.broadcast(counts) if n <= BROADCAST else counts
     # hashes below the share that holds the sample, with room to spare; then the smallest of those
-    few = rows.withColumn("order", order).join(F.broadcast(counts), "lang").where(F.col("order") * F.col("n") < 1.3 * sample + 100)
+    likely = (F.col("order") * F.col("n") < 1.3 * sample + 100) & (F.col("order") * F.col("bytes") < 1.3 * share + (4 << 20))
+    few = rows.withColumn("order", order).join(small, "lang").where(likely | (F.col("order") * F.col("n") < 30))
     place = Window.partitionBy("lang").orderBy("order", "doc_id", "text")
-    few = few.withColumn("place", F.row_number().over(place)).where(F.col("place") <= sample)
-    model = grouped(few.select(F.lit(0).alias("one"), "lang", "text"), ["one"], lambda _, own: [{"model": pickle.dumps(fit(own), 5)}], "model binary").collect()
+    before = F.coalesce(F.sum(F.octet_length("text").cast("long")).over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    few = few.withColumns({"place": F.row_number().over(place), "before": before}).where((F.col("place") <= sample) & (F.col("before") < share))
+
+    def counted(_, own):
+        yield {"lang": own[0]["lang"], "words": pickle.dumps(count_words(r["text"] for r in own), 5)}
+
+    def fitted(_, own):
+        yield {"model": pickle.dumps(fit({r["lang"]: pickle.loads(r["words"]) for r in own}), 5)}
+
+    words = grouped(few.select("lang", "text"), ["lang"], counted, "lang string, words binary", size=1)
+    model = grouped(words.select(F.lit(0).alias("one"), "lang", "words"), ["one"], fitted, "model binary").collect()  # one row of bounded size
     return spark.sparkContext.broadcast(pickle.loads(model[0]["model"]) if model else {"langs": [], "words": {"keys": [], "table": np.zeros((0, 0), np.float32)}, "grams": []})
 
 

@@ -5,9 +5,11 @@ the one with the highest sum of piece scores, the fewest pieces among equals. Th
 a partition are walked in sorted order, which is a depth-first walk of their trie: the forward score
 and count of a shared prefix are computed once, on the way down, and the counts of ends are stored.
 
-The pieces come from a public vocabulary file, in the order of their ranks; a piece's score is its
-log probability under Zipf's law, as an integer, so that sums are exact. Characters without a piece
-cost a byte token for each UTF-8 byte. Counting needs no shuffle.
+The model: the pieces come from a public vocabulary file, in the order of their ranks, and nothing is trained; the
+file states no probabilities, so the unigram probability of the piece of rank r (from 0) is that of Zipf's law,
+(1 / (r + 1)) / sum over all ranks. Its log is the piece's score, rounded to a millionth as an integer, so that sums
+are exact; a caller with probabilities of its own passes `scores` instead. Characters without a piece cost a byte
+token for each UTF-8 byte, ten below the least score. Counting needs no shuffle.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Pieces that a vocabulary may have (it goes to every task).
 PIECES = 1_000_000
-#: Distinct pre-tokens that are gathered before the trie is walked.
-GATHERED = 400_000
+#: Distinct pre-tokens, and pre-tokens in all (4 bytes each), that are gathered before the trie is walked.
+GATHERED, HELD = 400_000, 16_000_000
 UNIT = 1_000_000
 
 
@@ -86,12 +88,13 @@ def pre_tokens(text: str | None) -> list[str]:
     return [MARK + w for w in text.split()] if text else []
 
 
-def count_tokens(docs: DataFrame, pieces: list[str]) -> DataFrame:
+def count_tokens(docs: DataFrame, pieces: list[str], scores: dict[str, int] | None = None) -> DataFrame:
     """doc_id, n_pretokens, n_chars and n_tokens of every row; extra columns are ignored.
 
-    A null or empty text has 0 of each. A text of any length is counted whole.
+    A null or empty text has 0 of each. A text of any length is counted whole; rows that repeat are counted one by
+    one. Empty docs: no rows.
     """
-    scores = docs.sparkSession.sparkContext.broadcast(piece_scores(pieces))
+    scores = docs.sparkSession.sparkContext.broadcast(scores or piece_scores(pieces))
 
     def run(batches):
         import pyarrow as pa
@@ -99,6 +102,7 @@ def count_tokens(docs: DataFrame, pieces: list[str]) -> DataFrame:
         counter = Counter(scores.value)
         held: list[tuple] = []  # doc_id, characters, numbers of its pre-tokens
         numbers: dict[str, int] = {}
+        total = 0
 
         def flush():
             counts = counter.counts(list(numbers))
@@ -113,10 +117,12 @@ def count_tokens(docs: DataFrame, pieces: list[str]) -> DataFrame:
             for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
                 words = pre_tokens(text)
                 held.append((doc_id, len(text or ""), np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words))))
-            if len(numbers) >= GATHERED:
+                total += len(words) + 64  # a row costs something, too
+            if len(numbers) >= GATHERED or total >= HELD:
                 yield flush()
                 held.clear()
                 numbers.clear()
+                total = 0
         if held:
             yield flush()
 

@@ -9,8 +9,9 @@ models' lower order alone, which a passage copied from one sampled text can't sw
 turns these into a probability; it is fitted on scores by models that haven't seen the text (FOLDS parts).
 
 Labels are learned from a sample of at most `sample` documents of each class, the ones with the
-smallest hash of doc_id: the bound that keeps the model in memory. The classes' frequencies come from
-all labelled rows. Scoring needs no shuffle.
+smallest hash of doc_id, and of those as many as hold `sample_bytes` bytes of text together (one at least): the
+bound that keeps the model in memory and what is sent the same, however long the texts. The classes' frequencies
+come from all labelled rows. Scoring needs no shuffle.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ import pickle
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dartline.llm.common import WordHashes, crc_fold, deltas, grouped, hash_texts, mix, pack, plain_words, row_slices, segment_ids, table, undeltas, unpack
 
+#: Documents of a class, and bytes of their texts together, that are learned at most.
 SAMPLE = 2000
+SAMPLE_BYTES = 64 << 20
 DISCOUNT = 0.75
 PASSAGES = (1, 4, 16)
 #: Two orders, each over the whole text and its best passages; length; 1.
@@ -186,7 +190,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(x @ self.fitted["beta"], -500, 500)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, fold: int | None = 2, sample: int = SAMPLE):
+def learn(docs: DataFrame, labels: DataFrame, fold: int | None = 2, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES):
     """A broadcast scorer from labelled rows whose crc32(doc_id as text) mod 4 is not `fold`.
 
     A doc_id with several labels is toxic if one says so; null labels and ids are left out. A doc_id
@@ -200,6 +204,9 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int | None = 2, sample: int
     order = F.xxhash64(F.col("doc_id").cast("string"))
     picked = [known.where(F.col("toxic") == k).withColumn("order", order).orderBy("order", "doc_id").limit(sample) for k in (0, 1)]
     texts = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # 2 * sample rows at most
+    texts = texts.withColumn("text", F.coalesce("text", F.lit("")))
+    place = Window.partitionBy("toxic").orderBy("order", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    texts = texts.withColumn("before", F.coalesce(F.sum(F.octet_length("text").cast("long")).over(place), F.lit(0))).where(F.col("before") < sample_bytes).drop("before")
     totals = (counts.get(0, 0), counts.get(1, 0))
     model = grouped(texts.select(F.lit(0).alias("one"), "order", "toxic", "text"), ["one"], lambda _, rows: [{"model": pickle.dumps(fit(rows, totals), 5)}], "model binary").collect()
     return spark.sparkContext.broadcast(bytes(model[0]["model"]) if model else pickle.dumps({"base": totals[1] / max(sum(totals), 1)}))

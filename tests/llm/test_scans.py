@@ -45,7 +45,7 @@ def test_language_of_awkward_rows(spark):
 
 
 def test_known_words_come_before_grams():
-    model = langid.fit([{"lang": "x", "text": "abc abc abd"}, {"lang": "y", "text": "zzz zzz zzy"}])
+    model = langid.fit({"x": langid.count_words(["abc abc abd"]), "y": langid.count_words(["zzz zzz zzy"])})
     scorer = langid.Scorer(model)
     assert b"abc" in scorer.known and b"abd" not in scorer.known  # seen once only
     assert scorer(["abc", "zzzz", "abzzzz"])[0] == ["x", "y", "y"]
