@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir; where that is unset, a folder of our own.
 
-    Only a session in one JVM gets a temporary folder of this machine; a cluster without the
-    setting uses its warehouse, which is shared too.
+    Only a session in one JVM gets a temporary folder of this machine. On a cluster, where no folder is known to be
+    shared, a missing setting is a ValueError.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="dartline-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
     else:
-        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(base)
     return base
 
@@ -35,6 +35,24 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Removes an execution's shuffle files when it ends; a lost executor's are made again meanwhile, as ever.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Executions in this block leave no shuffle files behind: their result is in a table, nothing reads them again."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 _roots: list[tuple[SparkSession, str]] = []
 
 
@@ -56,16 +74,21 @@ class Work:
         self.at = 0
         _roots.append((spark, self.root))
 
-    def keep(self, df: DataFrame, **options: str) -> DataFrame:
-        """df, written as Parquet and read again: cuts the lineage and outlives lost executors."""
+    def keep(self, df: DataFrame, by: str | None = None, **options: str) -> DataFrame:
+        """df, written as Parquet and read again: cuts the lineage and outlives lost executors.
+
+        by: a column whose values are folders of their own.
+        """
         self.at += 1
         path = f"{self.root}/{self.at}"
-        df.write.options(**{"compression": "zstd", **options}).parquet(path)
+        rows = df.write.options(**{"compression": "zstd", **options})
+        with shuffles_removed(self.spark):
+            (rows.partitionBy(by) if by else rows).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._work_path = path
         return out
 
-    def drop(self, *kept: DataFrame) -> None:
-        """Deletes kept tables that nothing will read again."""
+    def drop(self, *kept: DataFrame, part: str = "") -> None:
+        """Deletes kept tables that nothing will read again, or the folder of one value, part: column=value."""
         for df in kept:
-            delete(self.spark, df._work_path)
+            delete(self.spark, f"{df._work_path}/{part}" if part else df._work_path)
