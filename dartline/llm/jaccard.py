@@ -13,12 +13,15 @@
    then. That component's sets need no comparison with each other: they are cut into parts by hash, the
    block's other sets too, and every part of the others is searched with every part.
 4. Inside a block each set asks for the earlier sets that share at least T = ceil(alike * n) shingles
-   with it (T-occurrence, DivideSkip): the longest inverted lists are put aside, the short ones merged,
-   and sets that reach T less the number of long lists are looked up in those by binary search. What is
-   already known to be in one component isn't compared again.
+   with it (T-occurrence, DivideSkip): the longest inverted lists are put aside, the short ones merged by a
+   heap of their heads that jumps over members with too few lists, and sets that reach T less the number of
+   long lists are looked up in those by binary search. The merge goes from the largest candidate down; with
+   the first link to a group, all of that group's members leave the lists, so what is known to be in one
+   component isn't compared again, and most of a group of near copies is never merged.
 5. Each search names the groups it found; components over those are the result.
 
-Shingles are compared by hashes of 40 bits in as many buckets; set sizes and classes by 64 and 128 bits.
+Shingles are compared by hashes of 40 bits and the bucket, set sizes and classes by 64 and 128 bits: exact but for
+collisions of those between the sets of one block.
 Chunks are numbered by scan task, so `docs` must be readable again in the same order, as tables are.
 """
 
@@ -38,12 +41,10 @@ WORDS = 5
 #: Alike enough: 100 * |A and B| >= PERCENT * |A or B|.
 PERCENT = 75
 CHUNK = 4 << 20
-BLOCK = 2_000_000
+BLOCK = 200_000
 LOW = 40
 #: The share of a skipped list's cost in DivideSkip's choice of the long lists.
 MU = 0.01
-#: Postings up to which short lists are merged by a heap; more of them are counted in one array.
-HEAP = 200
 
 
 def need(n: int, percent: int = PERCENT) -> int:
@@ -170,35 +171,66 @@ def prefix(n: int, body: bytes, percent: int) -> np.ndarray:
     return value[np.lexsort((value, f))][: max(0, n - need(n, percent) + 1 - alone)]
 
 
-def merged(lists: list[np.ndarray], least: int, width: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Members of at least `least` of the sorted lists, and of how many; members are base..base+width-1."""
-    if sum(map(len, lists)) > HEAP:
-        counts = np.bincount(np.concatenate(lists) - base, minlength=width)
-        found = np.flatnonzero(counts >= least)
-        return found + base, counts[found]
-    found, counts = [], []
-    heap = [(int(x[0]), k, 0) for k, x in enumerate(lists) if len(x)]
-    heapq.heapify(heap)
-    while len(heap) >= least:
-        top = heap[0][0]
-        popped = []
-        while heap and heap[0][0] == top:
-            popped.append(heapq.heappop(heap))
-        if len(popped) >= least:
-            found.append(top)
-            counts.append(len(popped))
-            jump = top + 1
-        else:  # nothing below the least-th smallest head can reach `least`
-            while heap and len(popped) < least - 1:
+class Merge:
+    """Members of at least `least` of the ascending lists, from the largest down, by a heap of the lists' heads."""
+
+    def __init__(self, lists: list[np.ndarray], least: int):
+        self.lists, self.least = lists, least
+        self.heap = [(-int(x[-1]), k, len(x) - 1) for k, x in enumerate(lists) if len(x)]
+        heapq.heapify(self.heap)
+
+    def __iter__(self):
+        heap = self.heap
+        while len(heap) >= self.least:
+            top = heap[0][0]
+            popped = []
+            while heap and heap[0][0] == top:
                 popped.append(heapq.heappop(heap))
-            if not heap:
-                break
-            jump = heap[0][0]
-        for _, k, i in popped:
-            i += int(np.searchsorted(lists[k][i:], jump))
-            if i < len(lists[k]):
-                heapq.heappush(heap, (int(lists[k][i]), k, i))
-    return np.array(found, np.int64), np.array(counts, np.int64)
+            found = len(popped) if len(popped) >= self.least else 0
+            if found:
+                jump = -top - 1
+            else:  # nothing above the least-th largest head can be in `least` lists
+                while heap and len(popped) < self.least - 1:
+                    popped.append(heapq.heappop(heap))
+                if not heap:
+                    return
+                jump = -heap[0][0]
+            for _, k, i in popped:
+                i = int(np.searchsorted(self.lists[k][: i + 1], jump, side="right")) - 1
+                if i >= 0:
+                    heapq.heappush(heap, (-int(self.lists[k][i]), k, i))
+            if found:
+                yield -top, found
+
+    def without(self, wanted: np.ndarray) -> None:
+        """Takes the members whose place in wanted is False out of what is left of the lists."""
+        left = {k: i for _, k, i in self.heap}
+        self.heap.clear()
+        for k, i in left.items():
+            x = self.lists[k][: i + 1]
+            x = self.lists[k] = x[wanted[x]]
+            if len(x):
+                self.heap.append((-int(x[-1]), k, len(x) - 1))
+        heapq.heapify(self.heap)
+
+
+class Groups:
+    """Disjoint sets of 0..k-1 by a label each; a union relabels the smaller one."""
+
+    def __init__(self, known: list):
+        _, self.label = np.unique(known, return_inverse=True)
+        order = np.argsort(self.label, kind="stable")
+        self.members = np.split(order, np.cumsum(np.bincount(self.label))[:-1]) if len(order) else []
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.label[a], self.label[b]
+        if len(self.members[x]) < len(self.members[y]):
+            x, y = y, x
+        self.label[self.members[y]] = x
+        self.members[x], self.members[y] = np.concatenate([self.members[x], self.members[y]]), None
+
+    def is_one(self, a: int) -> bool:
+        return len(self.members[self.label[a]]) == len(self.label)
 
 
 def search(rows: list[dict], percent: int = PERCENT):
@@ -217,21 +249,15 @@ def search(rows: list[dict], percent: int = PERCENT):
     # postings: token * k + set, sorted; an inverted list is a range of it
     postings = np.sort(token * k + segment_ids(lengths))
     ends = np.cumsum(lengths)
-    _, first, number = np.unique([r["known"] for r in rows], return_index=True, return_inverse=True)
-    parent = first[number]
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    group = parent.copy()  # the root of every set, refreshed after each union
+    groups = Groups([r["known"] for r in rows])
+    label = groups.label
     for q in range(1, k):
         n = int(sizes[q])
         least = need(n, percent)
         start = int(np.searchsorted(sizes, least))  # smaller sets are too small
-        if start >= q or (group[start:q] == group[q]).all():
+        if groups.is_one(q):
+            break
+        if start >= q:
             continue
         keys = token[ends[q] - lengths[q] : ends[q]] * k
         low, high = np.searchsorted(postings, keys + start), np.searchsorted(postings, keys + q)
@@ -244,23 +270,24 @@ def search(rows: list[dict], percent: int = PERCENT):
         longest = int(size[order[-1]])
         long = min(least - 1, int(least / (MU * math.log2(longest + 1) + 1)), len(order) - 1)
         short, rest = order[: len(order) - long], order[len(order) - long :]
+        wanted = label != label[q]
+        if crossing:
+            wanted &= parts != parts[q]
         lists = [postings[a:b] - c for a, b, c in zip(low[short].tolist(), high[short].tolist(), keys[short].tolist(), strict=True)]
-        found, counts = merged(lists, least - long, q - start, start)
-        for c, have in zip(found.tolist(), counts.tolist(), strict=True):
-            if group[c] == group[q] or (crossing and parts[c] == parts[q]):
-                continue
-            wanted = keys[rest] + c
-            at = np.minimum(np.searchsorted(postings, wanted), len(postings) - 1)
-            common = have + int((postings[at] == wanted).sum())
+        merge = Merge([x[wanted[x]] for x in lists], least - long)
+        for c, have in merge:
+            asked = keys[rest] + c
+            at = np.minimum(np.searchsorted(postings, asked), len(postings) - 1)
+            common = have + int((postings[at] == asked).sum())
             if 100 * common >= percent * (n + int(sizes[c]) - common):
-                x, y = root(c), root(q)
-                parent[max(x, y)] = min(x, y)
-                group[group == max(x, y)] = min(x, y)
+                wanted &= label != label[c]
+                groups.join(c, q)
+                merge.without(wanted)
     # every set by the smallest of its group: components of such stars take one round
     cids = np.array([r["cid"] for r in rows], np.int64)
     least = np.full(k, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, cids)
-    for cid, own in zip(cids.tolist(), least[group].tolist(), strict=True):
+    np.minimum.at(least, label, cids)
+    for cid, own in zip(cids.tolist(), least[label].tolist(), strict=True):
         if cid != own:
             yield {"u": own, "v": cid}
 

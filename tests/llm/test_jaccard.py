@@ -75,17 +75,37 @@ def test_empty_table(spark):
     assert jaccard.near_groups(empty(spark)).collect() == []
 
 
-@pytest.mark.parametrize("heap", [0, 10**9])
-def test_merge_of_lists(monkeypatch, heap):
-    monkeypatch.setattr(jaccard, "HEAP", heap)
+def test_merge_of_lists():
     r = np.random.default_rng(1)
-    for _ in range(200):
-        lists = [np.unique(r.integers(10, 40, r.integers(1, 20))) for _ in range(r.integers(1, 8))]
+    for _ in range(400):
+        lists = [np.unique(r.integers(0, 40, r.integers(1, 20))) for _ in range(r.integers(1, 8))]
         least = int(r.integers(1, len(lists) + 1))
-        found, counts = jaccard.merged(lists, least, 30, 10)
         every = np.concatenate(lists)
-        want = {v: int((every == v).sum()) for v in set(every.tolist())}
-        assert dict(zip(found.tolist(), counts.tolist())) == {v: c for v, c in want.items() if c >= least}
+        want = [(v, int((every == v).sum())) for v in sorted(set(every.tolist()), reverse=True)]
+        want = [(v, c) for v, c in want if c >= least]
+        assert list(jaccard.Merge(list(lists), least)) == want
+        # with every third member found, those of its remainder by 4 leave
+        merge, got, gone, left = jaccard.Merge(list(lists), least), [], set(), []
+        for v, c in merge:
+            got.append((v, c))
+            if v % 3 == 0:
+                gone.add(v % 4)
+                merge.without(np.array([x % 4 not in gone for x in range(40)]))
+        gone = set()
+        for v, c in want:
+            if v % 4 not in gone:
+                left.append((v, c))
+                if v % 3 == 0:
+                    gone.add(v % 4)
+        assert got == left
+
+
+def test_groups():
+    g = jaccard.Groups([7, 3, 7, 9, 3])
+    g.join(1, 3)
+    assert g.label[1] == g.label[4] == g.label[3] != g.label[0] == g.label[2] and not g.is_one(0)
+    g.join(0, 4)
+    assert len(set(g.label.tolist())) == 1 and g.is_one(2)
 
 
 def test_one_of_each(spark):
