@@ -61,13 +61,24 @@ def numbered(rows: DataFrame, *order: str | Column, name: str = "new") -> DataFr
 
 def running_sum(rows: DataFrame, value: str, *order: str | Column, name: str) -> DataFrame:
     """rows with the sum of value up to each in the order given (no ties), added up a range at a time."""
+    return running_sums(rows, {name: value}, *order)
+
+
+def running_sums(rows: DataFrame, values: dict[str, str], *order: str | Column) -> DataFrame:
+    """running_sum of several values in one pass: name -> value."""
     work = Work(rows.sparkSession)
     rows = work.keep(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sums = rows.groupBy("_part").agg(F.sum(value).alias("_n"))  # a row a partition
+    sums = rows.groupBy("_part").agg(*[F.sum(v).alias(f"_n_{name}") for name, v in values.items()])  # a row a partition
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_inside", inside).join(F.broadcast(sums), "_part").withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before")
+    sums = sums.select("_part", *[F.coalesce(F.sum(f"_n_{name}").over(before), F.lit(0)).alias(f"_before_{name}") for name in values])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_inside_{name}": F.sum(v).over(inside) for name, v in values.items()}).join(F.broadcast(sums), "_part")
+    return rows.withColumns({name: F.col(f"_before_{name}") + F.col(f"_inside_{name}") for name in values}).drop("_part", *[f"_{k}_{name}" for name in values for k in ("inside", "before")])
+
+
+def first_rows(rows: DataFrame, count: int, *order: str | Column) -> DataFrame:
+    """The first `count` rows in the order given, by numbers of ranges: a count that grows with the rows is no one task's."""
+    return numbered(rows, *order, name="_place").where(F.col("_place") < max(count, 0)).drop("_place")
 
 
 def dense_ids(nodes: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from dartline.functions.rng import rand01, randint
 from dartline.operators.connectivity import component_count, spanning_tree
-from dartline.operators.graph import canonical, dense_ids, numbered
+from dartline.operators.graph import canonical, dense_ids, first_rows, numbered, running_sums
 from dartline.operators.scores import aggregate_scores, default_mode, transition_counts
 from dartline.plans.work import Work
 
@@ -31,9 +31,9 @@ def non_edges(edges: DataFrame, nodes: DataFrame, count: int, seed: int) -> Data
         rows = edges.sparkSession.range(draws).select(F.col("id").alias("t"), randint(n, seed, "a", F.col("id")).alias("a"), randint(n, seed, "b", F.col("id")).alias("b")).where("a <> b")
         rows = rows.join(ids.select(F.col("new").alias("a"), F.col("id").alias("u")), "a").join(ids.select(F.col("new").alias("b"), F.col("id").alias("v")), "b")
         rows = canonical(rows.select("t", "u", "v")).groupBy("u", "v").agg(F.min("t").alias("t")).join(edges.select("u", "v"), ["u", "v"], "left_anti")
-        found = Work(edges.sparkSession).keep(rows.orderBy("t").limit(count))
+        found = Work(edges.sparkSession).keep(numbered(rows, "t", name="place").where(F.col("place") < count).select("u", "v", "place"))
         if found.count() >= count:
-            return numbered(found, "t", name="place").select("u", "v", "place")
+            return found
         draws *= 2
 
 
@@ -76,7 +76,7 @@ def train_subsample(edges: DataFrame, *, fraction: float, seed: int = 0) -> Data
     tree = work.keep(spanning_tree(edges))
     size, total = tree.count(), edges.count()
     more = min(max(round(fraction * total), size), total) - size
-    rest = edges.join(tree, ["u", "v"], "left_anti").orderBy(rand01(seed, F.col("u"), F.col("v")), "u", "v").limit(more)
+    rest = first_rows(edges.join(tree, ["u", "v"], "left_anti"), more, rand01(seed, F.col("u"), F.col("v")), "u", "v")
     return tree.unionByName(rest)
 
 
@@ -106,20 +106,36 @@ def by_score(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by, "score").agg(F.count_if(pos).alias("p"), F.count_if(~pos).alias("n"))
 
 
+def same(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """a joined with one row of b for each group; without groups, with its only row."""
+    if not by:
+        return a.crossJoin(b)
+    named = b.withColumnsRenamed({c: f"_{c}" for c in by})
+    condition = [a[c].eqNullSafe(named[f"_{c}"]) for c in by]
+    return a.join(named, condition).drop(*[f"_{c}" for c in by])
+
+
+def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by_score with p_up, n_up (of lower and equal scores of the group) and p_all, n_all; summed in ranges of the scores."""
+    counts = running_sums(by_score(rows, by), {"p_up": "p", "n_up": "n"}, *by, "score")
+    counts = Work(rows.sparkSession).keep(counts)
+    base = counts.groupBy(*by).agg(*[F.min(F.col(f"{c}_up") - F.col(c)).alias(f"{c}_base") for c in "pn"], *[F.sum(c).alias(f"{c}_all") for c in "pn"])
+    return same(counts, base, by).withColumns({f"{c}_up": F.col(f"{c}_up") - F.col(f"{c}_base") for c in "pn"})
+
+
 def roc_auc(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """auc of rows (score, is_pos): the share of pairs in order, ties one half; null if a side is empty."""
     by = by or []
-    counts = by_score(rows, by)
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    won = F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0)) + F.col("n") / 2)
+    counts = ranked(rows, by)
+    won = F.col("p") * (F.col("n_up") - F.col("n") / 2)
     return counts.withColumn("won", won).groupBy(*by).agg(F.try_divide(F.sum("won"), F.sum("p").cast("double") * F.sum("n")).alias("auc"))
 
 
 def average_precision(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """ap: sum over distinct scores of the recall they add times the precision down to them; null if a side is empty."""
     by = by or []
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    counts = by_score(rows, by).withColumn("tp", F.sum("p").over(down)).withColumn("all", F.sum(F.col("p") + F.col("n")).over(down))
+    down = {c: F.col(f"{c}_all") - F.col(f"{c}_up") + F.col(c) for c in "pn"}
+    counts = ranked(rows, by).withColumns({"tp": down["p"], "all": down["p"] + down["n"]})
     ap = F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("all")), F.sum("p").cast("double"))
     return counts.groupBy(*by).agg(F.when(F.sum("n") > 0, ap).alias("ap"))
 
@@ -146,8 +162,12 @@ def smallest_gap(value: Column | str, rows: DataFrame, by: list[str] | None = No
     """min_gap between distinct values; null for fewer than two."""
     by = by or []
     own = rows.select(*by, F.col(value).alias("x") if isinstance(value, str) else value.alias("x")).distinct()
-    gap = F.col("x") - F.lag("x").over(Window.partitionBy(*by).orderBy("x"))
-    return own.withColumn("gap", gap).groupBy(*by).agg(F.min("gap").alias("min_gap"))
+    own = Work(rows.sparkSession).keep(own.repartitionByRange(*by, "x").withColumn("_part", F.spark_partition_id()))
+    inside = F.col("x") - F.lag("x").over(Window.partitionBy("_part", *by).orderBy("x"))
+    ends = own.groupBy("_part", *by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))  # a row a range and group
+    between = F.col("lo") - F.lag("hi").over(Window.partitionBy(*by).orderBy("_part"))
+    gaps = own.select(*by, inside.alias("gap")).unionByName(ends.select(*by, between.alias("gap")))
+    return gaps.groupBy(*by).agg(F.min("gap").alias("min_gap"))
 
 
 def score_diagnostics(scores: DataFrame, pairs: DataFrame, darts_per_sequence: int) -> DataFrame:

@@ -24,7 +24,7 @@ def sign_of(value: Column) -> Column:
     return F.when(value.cast("double") > 0, 1).otherwise(-1)
 
 
-def sample_signs(nodes: DataFrame, configs: int, seed: int) -> DataFrame:
+def sample_signs(nodes: DataFrame, configs: int, seed: int | str) -> DataFrame:
     """config, id, sign: uniform -1 or 1 for each node in each of the configs."""
     rows = nodes.select("id").withColumn("config", F.explode(F.sequence(F.lit(0), F.lit(configs - 1))))
     return rows.select("config", "id", F.when(rand01(seed, F.col("config"), F.col("id")) < 0.5, -1).otherwise(1).alias("sign"))
@@ -41,7 +41,7 @@ def rotation_from_curvature_signs(edges: DataFrame, curvature: DataFrame, signs:
     return rows.select("config", "u", (F.row_number().over(w) - 1).alias("pos"), "v")
 
 
-def random_rotation(edges: DataFrame, seed: int, configs: int = 1) -> DataFrame:
+def random_rotation(edges: DataFrame, seed: int | str, configs: int = 1) -> DataFrame:
     """Neighbours of each node in an order of hashes, one for each config."""
     rows = darts(edges).withColumn("config", F.explode(F.sequence(F.lit(0), F.lit(configs - 1))))
     w = Window.partitionBy("config", "u").orderBy(rand01(seed, F.col("config"), F.col("u"), F.col("v")), "v")
@@ -158,13 +158,19 @@ def facial_walks_from_curvature_signs(edges: DataFrame, curvature: DataFrame, si
     return facial_walks(rotation, **options), rotation
 
 
-def config_faces(edges: DataFrame, method: str, *, curvature: DataFrame | None = None, signs: DataFrame | None = None, configs: int = 1, seed: int = 0) -> DataFrame:
+def config_faces(edges: DataFrame, method: str, *, curvature: DataFrame | None = None, signs: DataFrame | None = None, configs: int = 1, seed: int | str = 0) -> DataFrame:
     """Faces by walk method: random_rotations shuffles (always seeded), all others sort by curvature."""
     if method == "random_rotations":
         return faces_from_rotation(random_rotation(edges, seed, configs))
     return facial_walks_from_curvature_signs(edges, curvature, signs)[0]
 
 
+def epoch_faces(edges: DataFrame, nodes: DataFrame, method: str, *, curvature: DataFrame, configs: int, seed: int, epoch: int) -> DataFrame:
+    """Faces of signs, or of shuffles, that are drawn anew in each epoch."""
+    key = f"{seed}:{epoch}"
+    return config_faces(edges, method, curvature=curvature, signs=sample_signs(nodes, configs, key), configs=configs, seed=key)
+
+
 def face_arrays(faces: DataFrame) -> DataFrame:
     """config, face, darts: each face as an array of (u, v)."""
     rows = faces.groupBy("config", "face").agg(F.sort_array(F.collect_list(F.struct("pos", "u", "v"))).alias("d"))

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dartline.functions.rng import column, exponential
-from dartline.operators.graph import darts, valid_vertices
+from dartline.operators.graph import darts, first_rows, valid_vertices
 from dartline.plans.work import Work
 
 WALKS = ("facial", "random")
+#: Scores up to which rows choose their edges one after another, in one task.
+ONE_TASK = 2_000_000
 
 
 def check_walk_type(walk_type: str) -> None:
@@ -118,16 +120,19 @@ def fill(scores: DataFrame, chosen: DataFrame | None, count: int, seed: int) ->
     rows = scores.where("u < v and w > 0")
     if chosen is not None:
         rows = rows.join(chosen, ["u", "v"], "left_anti")
-    return rows.orderBy(exponential(seed, "fill", F.col("u"), F.col("v")) / F.col("w"), "u", "v").limit(max(count, 0)).select("u", "v")
+    return first_rows(rows, count, exponential(seed, "fill", F.col("u"), F.col("v")) / F.col("w"), "u", "v").select("u", "v")
 
 
-def sample_graph(scores: DataFrame, *, target: int | None = None, seed: int = 0, walk_type: str = "facial", mode: str | None = None, parallel_seeds: bool = False) -> DataFrame:
+def sample_graph(scores: DataFrame, *, target: int | None = None, seed: int = 0, walk_type: str = "facial", mode: str | None = None, parallel_seeds: bool | None = None, one_task: int = ONE_TASK) -> DataFrame:
     """Edges u < v of a graph drawn from scores: an edge for each row that has one, then more up to the target.
 
     The target is at most the entries of the upper triangle (the default); rows' edges are all kept, even beyond it.
-    With mode none, an entry below the diagonal can be a row's edge, but not one of the others.
+    With mode none, an entry below the diagonal can be a row's edge, but not one of the others. parallel_seeds: by
+    default, rows choose one after another for up to `one_task` scores and by themselves for more.
     """
     own = Work(scores.sparkSession).keep(aggregate_scores(scores, mode or default_mode(walk_type)))
+    if parallel_seeds is None:
+        parallel_seeds = own.count() > one_task
     seeds = Work(scores.sparkSession).keep(seeds_in_parallel(own, seed) if parallel_seeds else row_seeds(own, seed))
     entries = own.where("u < v and w <> 0").count()
     target = entries if target is None else min(target, entries)

@@ -130,7 +130,7 @@ def neighbours(spark, d):
 
 
 @query(
-    with_(sql.PARTS, sql.DARTS, sql.DEGREES, "i AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS x FROM g WHERE degree >= 4)")
+    with_(sql.PARTS, sql.DARTS, sql.DEGREES, "i AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) - 1 AS x FROM g WHERE degree >= 4)")
     + "SELECT a.x AS u, b.x AS v FROM e JOIN i a ON a.id = e.u JOIN i b ON b.id = e.v"
 )
 def induced_subgraph(spark, d):
@@ -325,14 +325,14 @@ def steinerberger_curvature(spark, d):
 def ollivier_ricci_curvature(spark, d):
     edges = suppliers(spark, d)
     own, ids = connectivity.largest_connected_component(edges, ends(edges))
-    return curvature.ollivier_ricci_curvature(kept(own), kept(ids), edge_sample_size=200, max_neighbors=8)
+    return curvature.ollivier_ricci_curvature(kept(own), kept(ids))
 
 
 @query()
 def lin_lu_yau_curvature(spark, d):
     edges = suppliers(spark, d)
     own, ids = connectivity.largest_connected_component(edges, ends(edges))
-    return curvature.lin_lu_yau_curvature(kept(own), kept(ids), edge_sample_size=200, max_neighbors=8)
+    return curvature.lin_lu_yau_curvature(kept(own), kept(ids))
 
 
 # rotations and faces
@@ -468,12 +468,14 @@ CONTEXT, EPOCH_SEED = 17, 19
 
 
 def _chunk_sql(epoch: int, width: int, online: bool) -> str:
-    """Chunk records with tokens as text."""
+    """Chunk records with tokens as text; online, of signs drawn for the epoch."""
+    signs = sql.sorted_rotation(CONFIGS, f"'{SIGN_SEED}:{epoch}'" if online else SIGN_SEED)
     offset = f"CASE WHEN n <= 1 THEN 0 ELSE floor({sql.rand01_sql(str(EPOCH_SEED), str(epoch), 'seq')} * n)::BIGINT END"
     end = "''" if online else f"CASE WHEN n <= {width} THEN ' ' || (bos + 1) ELSE '' END"
     return (
         with_(
-            *_SORTED,
+            *_SORTED[:-1],
+            signs,
             sql.faces(),
             "y AS (SELECT config, face, count(*) AS n FROM f GROUP BY ALL)",
             "z AS (SELECT *, row_number() OVER (ORDER BY config, face) - 1 AS seq, (SELECT max(p_partkey) + 1 FROM part) AS bos FROM y)",
@@ -488,7 +490,13 @@ FROM a WHERE place < len GROUP BY bos, seq, chunk"""
 
 
 def _chunk_rows(spark, d, epoch: int, online: bool) -> DataFrame:
-    sequences = rotation.face_vertex_sequences(sorted_faces(spark, d))
+    if online:
+        edges = parts(spark, d)
+        kappa = kept(degree_kappa(edges))
+        faces_ = rotation.epoch_faces(edges, kappa, "degree", curvature=kappa, configs=CONFIGS, seed=SIGN_SEED, epoch=epoch)
+    else:
+        faces_ = sorted_faces(spark, d)
+    sequences = rotation.face_vertex_sequences(faces_)
     bos = tables.part_nodes(spark, d).agg(F.max("id") + 1).first()[0]
     rows = tokens.face_chunks(sequences, context=CONTEXT, seed=EPOCH_SEED, bos=bos, epoch=epoch, online=online)
     text = F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens")
@@ -628,7 +636,22 @@ def seeds_in_parallel(spark, d):
 
 @query()
 def sample_graph(spark, d):
-    return scores.sample_graph(part_scores(spark, d), target=2000, seed=13, walk_type="random")
+    return scores.sample_graph(part_scores(spark, d), target=2000, seed=13, walk_type="random", parallel_seeds=False)
+
+
+@query(
+    with_(
+        _PART_SCORES, _BOTH, "s AS MATERIALIZED (SELECT u, v, sum(w) AS w FROM y GROUP BY ALL)",
+        f"r AS (SELECT u, v FROM s QUALIFY row_number() OVER (PARTITION BY u ORDER BY {sql.exponential_sql('13', chr(39) + 'row' + chr(39), 'u', 'v')} / w, v) = 1)",
+        "t AS MATERIALIZED (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM r)",
+        f"f AS (SELECT u, v, row_number() OVER (ORDER BY {sql.exponential_sql('13', chr(39) + 'fill' + chr(39), 'u', 'v')} / w, u, v) AS k FROM s WHERE u < v AND (u, v) NOT IN (SELECT (u, v) FROM t))",
+    )
+    + "SELECT u, v FROM t UNION ALL SELECT u, v FROM f WHERE k <= (SELECT least(count(*) // 2, (SELECT count(*) FROM s WHERE u < v)) FROM c) - (SELECT count(*) FROM t)"
+)
+def sample_graph_in_parallel(spark, d):
+    """With half as many edges as there are scores."""
+    rows = part_scores(spark, d)
+    return scores.sample_graph(rows, target=rows.count() // 2, seed=13, walk_type="random", one_task=0)
 
 
 @query()
@@ -657,7 +680,20 @@ def second_order_walks(spark, d):
     return walks.second_order_steps(edges, walks.uniform_starts(ends(edges), 300, 29), 6, p=0.25, q=2.0, key=(29,))
 
 
-@query()
+@query(
+    with_(
+        sql.SUPPLIERS,
+        sql.DARTS,
+        "n AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) - 1 AS new FROM (SELECT DISTINCT u AS id FROM d))",
+        f"st AS (SELECT w.walk, n.id AS node FROM range(200) w(walk) JOIN n ON n.new = floor({sql.rand01_sql('13', '1', 'w.walk', '0')} * (SELECT count(*) FROM n)))",
+        f"""wk(walk, pos, node, prev) AS (SELECT walk, 0, node, NULL::BIGINT FROM st UNION ALL
+ (SELECT w.walk, w.pos + 1, d.v, w.node FROM wk w JOIN d ON d.u = w.node LEFT JOIN d b ON b.u = w.prev AND b.v = d.v WHERE w.pos < 6
+  QUALIFY row_number() OVER (PARTITION BY w.walk ORDER BY {sql.exponential_sql('13', '1', 'w.walk', 'w.pos + 1', 'd.v')} / CASE WHEN w.pos = 0 OR d.v = w.prev OR b.u IS NOT NULL THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END, d.v) = 1))""",
+        recursive=True,
+    )
+    + """SELECT (SELECT count(*) FROM n) || ' ' || string_agg(node, ' ' ORDER BY pos) AS tokens, walk AS face_index, 0 AS chunk_index, 0 AS chunk_start, (count(*) - 1)::INT AS dart_length,
+ true AS is_terminal, false AS has_eos, 1 AS num_chunks_for_face, -1 AS sign_config_index, walk::INT AS face_index_within_config FROM wk GROUP BY walk"""
+)
 def random_walk_corpus(spark, d):
     edges = suppliers(spark, d)
     rows = walks.random_walk_corpus(edges, ends(edges), walks=200, context=8, seed=13, q=2.0, epoch=1, online=True)
@@ -815,7 +851,20 @@ def best_epochs(spark, d):
     return reports.best_epoch(history(spark, d), ["run"]).select("run", F.col("epoch").alias("best_epoch"), F.col("val_score").alias("best_val_score"))
 
 
-@query()
+@query(
+    with_(
+        _HISTORY,
+        "mo AS (SELECT run, max(epoch) AS most FROM hi GROUP BY run)",
+        """s(run, epoch, best, best_epoch, bad, stop_epoch) AS (SELECT run, -1::BIGINT, '-infinity'::DOUBLE, NULL::BIGINT, 0::BIGINT, NULL::BIGINT FROM mo UNION ALL
+ SELECT s.run, hi.epoch, CASE WHEN stop_epoch IS NULL AND coalesce(val_score > best + 0.01::DOUBLE, false) THEN val_score ELSE best END,
+  CASE WHEN stop_epoch IS NULL AND coalesce(val_score > best + 0.01::DOUBLE, false) THEN hi.epoch ELSE best_epoch END,
+  CASE WHEN stop_epoch IS NOT NULL THEN bad WHEN coalesce(val_score > best + 0.01::DOUBLE, false) THEN 0 ELSE bad + 1 END,
+  CASE WHEN stop_epoch IS NOT NULL THEN stop_epoch WHEN coalesce(val_score > best + 0.01::DOUBLE, false) THEN NULL WHEN bad + 1 >= 5 THEN hi.epoch END
+ FROM s JOIN hi ON hi.run = s.run AND hi.epoch = s.epoch + 1)""",
+        recursive=True,
+    )
+    + "SELECT s.run, best, best_epoch, bad, stop_epoch FROM s JOIN mo ON mo.run = s.run AND mo.most = s.epoch"
+)
 def early_stopping(spark, d):
     rows = history(spark, d).select("run", "epoch", F.col("val_score").alias("value"))
     return linkpred.early_stopping(rows, patience=5, min_delta=0.01, by=["run"])

@@ -52,12 +52,12 @@ s AS MATERIALIZED (SELECT a.id, b.id AS nxt FROM ids a JOIN ids b ON b.config =
 f AS MATERIALIZED (SELECT ids.config, dense_rank() OVER (PARTITION BY ids.config ORDER BY o.orbit) - 1 AS face, o.pos, ids.u, ids.v FROM ids JOIN o USING (id))"""
 
 
-def signs(nodes: str, configs: int, seed: int) -> str:
+def signs(nodes: str, configs: int, seed: int | str) -> str:
     return f"sg AS MATERIALIZED (SELECT config, id, CASE WHEN {rand01_sql(str(seed), 'config', 'id')} < 0.5 THEN -1 ELSE 1 END AS sign FROM {nodes}, range({configs}) c(config))"
 
 
-def sorted_rotation(configs: int, seed: int) -> str:
-    """rot, with the degree as curvature."""
+def sorted_rotation(configs: int, seed: int | str) -> str:
+    """rot, with the degree as curvature; seed: a number or a quoted text."""
     return f"""{signs('g', configs, seed)},
 rot AS MATERIALIZED (SELECT sg.config, d.u, row_number() OVER (PARTITION BY sg.config, d.u ORDER BY sg.sign * g.degree, d.v) - 1 AS pos, d.v FROM d JOIN sg ON sg.id = d.u JOIN g ON g.id = d.v)"""
 

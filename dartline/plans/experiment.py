@@ -2,6 +2,8 @@
 
     python -m dartline.plans.experiment --edges e.parquet --nodes n.parquet --save-dir runs \
         --final-generated-walks-list 1000 10000
+
+--data-dir with --dataset-name reads a dataset's export instead of --edges and --nodes.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ from dartline.plans import reports
 from dartline.plans.work import Work
 from dartline.sources import artifacts, tables
 
-WALK_TYPES = ("facial", "random", "random_online")
-METHODS = ("resistance", "steinerberger", "ollivier_ricci", "lin_lu_yau", "random_rotations")
+WALK_TYPES = ("facial", "facial_online", "random", "random_online")
+METHODS = ("resistance", "steinerberger", "ollivier_ricci", "lin_lu_yau", "lly", "random_rotations")
 STOPS = ("none", "val", "edge_overlap")
+TARGETS = ("validation", "reference")
 
 
 @dataclass
@@ -49,6 +52,7 @@ class Config:
     early_stop_patience: int = 5
     early_stop_min_delta: float = 0.0
     target_edge_overlap: float = 0.5
+    edge_overlap_target: str = "validation"
     eval_generated_walks: int = 4096
     eval_every: int = 1
     eval_max_length: int | None = None
@@ -61,14 +65,14 @@ class Config:
     final_max_length: int | None = None
 
     def __post_init__(self):
-        for value, known in ((self.walk_type, WALK_TYPES), (self.facial_walk_method, METHODS), (self.early_stop_mode, STOPS)):
+        for value, known in ((self.walk_type, WALK_TYPES), (self.facial_walk_method, METHODS), (self.early_stop_mode, STOPS), (self.edge_overlap_target, TARGETS)):
             if value not in known:
                 raise ValueError(f"{value!r} is not one of {', '.join(known)}")
 
     @property
     def sampled_type(self) -> str:
         """Online walks are sampled and counted like static ones."""
-        return "facial" if self.walk_type == "facial" else "random"
+        return "facial" if self.walk_type.startswith("facial") else "random"
 
     def max_length(self, given: int | None) -> int:
         return given or tokens.generation_length(self.vertex_context_size, self.sampled_type)
@@ -101,7 +105,7 @@ def prepare(edges: DataFrame, nodes: DataFrame, config: Config) -> Data:
     labels = nodes if "label" in nodes.columns else nodes.withColumn("label", F.lit(-1))
     ids = keep(numbers.join(labels, "id").select(F.col("new").alias("id"), "label"))
     train, pairs = own, None
-    if config.use_link_prediction_split:
+    if config.use_link_prediction_split or config.early_stop_mode == "val":
         pairs = linkpred.link_split(own, ids, val=config.val_fraction, test=config.test_fraction, seed=config.split_seed)
         train = pairs.where("split = 'train' and is_pos").select("u", "v")
     if config.train_fraction is not None:
@@ -117,30 +121,41 @@ class Corpus:
 
     def __init__(self, data: Data, config: Config):
         self.data, self.config = data, config
+        if config.sampled_type == "facial":
+            self.kappa = kappa = Work(data.nodes.sparkSession).keep(curvature.node_curvature(data.train_edges, data.nodes, config.facial_walk_method, seed=config.seed))
         if config.walk_type == "facial":
-            kappa = curvature.node_curvature(data.train_edges, data.nodes, config.facial_walk_method, seed=config.seed)
             signs = rotation.sample_signs(data.nodes, config.num_sign_configs, config.sign_seed)
             found = rotation.config_faces(data.train_edges, config.facial_walk_method, curvature=kappa, signs=signs, configs=config.num_sign_configs, seed=config.sign_seed)
             self.sequences = Work(data.nodes.sparkSession).keep(rotation.face_vertex_sequences(found))
-        else:
+        elif config.sampled_type == "random":
             self.walks = walks.corpus_size(config.num_sign_configs, data.train_edges.count(), config.vertex_context_size, data.n)
 
     def epoch(self, epoch: int) -> DataFrame:
         c = self.config
         if c.walk_type == "facial":
             return tokens.face_chunks(self.sequences, context=c.vertex_context_size, seed=c.epoch_seed, bos=self.data.n, epoch=epoch)
+        if c.walk_type == "facial_online":
+            found = rotation.epoch_faces(self.data.train_edges, self.data.nodes, c.facial_walk_method, curvature=self.kappa, configs=c.num_sign_configs, seed=c.sign_seed, epoch=epoch)
+            return tokens.face_chunks(rotation.face_vertex_sequences(found), context=c.vertex_context_size, seed=c.epoch_seed, bos=self.data.n, epoch=epoch, online=True)
         return walks.random_walk_corpus(
             self.data.train_edges, self.data.nodes, walks=self.walks, context=c.vertex_context_size, seed=c.epoch_seed,
             p=c.second_order_p, q=c.second_order_q, epoch=epoch, online=c.walk_type == "random_online", bos=self.data.n,
         )
 
 
-def evaluate(model: models.CountModel, data: Data, config: Config, count: int, target: DataFrame, *, length: int, seed: int) -> dict:
-    """Scores, the graph drawn from them with as many edges as target, and measures of both."""
+def overlap_target(data: Data, config: Config) -> DataFrame:
+    """The edges that a run in training is compared with: with a split, its validation edges or the whole graph's."""
+    if data.pairs is None or config.edge_overlap_target == "reference":
+        return data.edges
+    return data.pairs.where("split = 'val' and is_pos").select("u", "v")
+
+
+def evaluate(model: models.CountModel, data: Data, config: Config, count: int, target: DataFrame, *, length: int, seed: int, overlap: DataFrame | None = None) -> dict:
+    """Scores, the graph drawn from them with as many edges as target, and measures of both; overlap: by default with target."""
     keep = Work(data.nodes.sparkSession).keep
     s = keep(models.model_transition_counts(model, count, length=length, walk_type=config.sampled_type, seed=seed))
     drawn = keep(scores.sample_graph(s, target=target.count(), seed=seed, walk_type=config.sampled_type, mode=config.score_symmetrization))
-    out = {"scores": s, "edges": drawn, "edge_overlap": linkpred.edge_overlap(drawn, target).first()[0]}
+    out = {"scores": s, "edges": drawn, "edge_overlap": linkpred.edge_overlap(drawn, target if overlap is None else overlap).first()[0]}
     if data.pairs is not None:
         rows = linkpred.link_prediction(s, data.pairs.where("split <> 'train'"), walk_type=config.sampled_type, mode=config.score_symmetrization)
         out["link"] = {r["split"]: r.asDict() for r in rows.collect()}
@@ -168,13 +183,13 @@ def train_model(spark: SparkSession, edges: DataFrame, nodes: DataFrame, config:
         row = {"epoch": epoch, "train_nll": fit["nll"], "train_perplexity": fit["perplexity"]}
         halt = False
         if config.early_stop_mode != "none" and epoch % config.eval_every == 0:
-            found = evaluate(model, data, config, config.eval_generated_walks, data.train_edges, length=config.max_length(config.eval_max_length), seed=config.seed + epoch)
+            found = evaluate(model, data, config, config.eval_generated_walks, data.train_edges, length=config.max_length(config.eval_max_length), seed=config.seed + epoch, overlap=overlap_target(data, config))
             row["edge_overlap"] = found["edge_overlap"]
             row |= {f"generated_{r['metric']}": r["value"] for r in stats.compute_graph_statistics(found["edges"], path_length=False).collect()}
             if config.early_stop_mode == "val":
                 val = found.get("link", {}).get("val")
                 if val is None:
-                    raise ValueError("stopping by validation needs a link prediction split")
+                    raise ValueError("the split has no validation pairs to stop by")
                 row |= {"val_auc": val["auc"], "val_ap": val["ap"], "val_score": val["val_score"]}
                 value = float("nan") if val["val_score"] is None else val["val_score"]
                 halt = stop.update(value, step=epoch)
@@ -235,8 +250,9 @@ def save_grid(spark: SparkSession, base: str, tables_: dict[str, DataFrame], met
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(description=__doc__.split("\n")[0])
-    out.add_argument("--edges", required=True)
-    out.add_argument("--nodes", required=True)
+    out.add_argument("--edges")
+    out.add_argument("--nodes")
+    out.add_argument("--data-dir")
     out.add_argument("--skip-train", action="store_true")
     out.add_argument("--final-generated-walks-list", type=int, nargs="+", required=True)
     out.add_argument("--save-final-eval", action=argparse.BooleanOptionalAction, default=True)
@@ -254,7 +270,12 @@ def main(argv: list[str] | None = None) -> dict[str, DataFrame]:
     args = vars(parser().parse_args(argv))
     config = Config(**{f.name: args[f.name] for f in fields(Config)})
     spark = SparkSession.builder.getOrCreate()
-    edges, nodes = tables.read_graph(spark, args["edges"]), spark.read.parquet(args["nodes"])
+    if args["data_dir"]:
+        edges, nodes = tables.load_graph_dataset(spark, config.dataset_name, data_dir=args["data_dir"])
+    elif args["edges"] and args["nodes"]:
+        edges, nodes = tables.read_graph(spark, args["edges"]), spark.read.parquet(args["nodes"])
+    else:
+        raise ValueError("give --edges and --nodes, or --data-dir and --dataset-name")
     base = reports.save_dir(config.save_dir, config.run_name) if config.save_dir else None
     if args["skip_train"]:
         if not base:

@@ -177,18 +177,30 @@ def test_experiment_from_the_command_line(spark, tmp_path):
     assert more["stats"].count() == len(stats)
 
 
-@pytest.mark.parametrize("walk", ["random", "random_online"])
-def test_experiment_on_random_walks(spark, tmp_path, walk):
-    grid = ex.main([*inputs(spark, tmp_path)[:4], "--final-generated-walks-list", "30", "--epochs", "1", "--walk-type", walk, "--vertex-context-size", "6", "--num-sign-configs", "1", "--early-stop-mode", "edge_overlap", "--eval-generated-walks", "20", "--train-fraction", "0.8"])
+@pytest.mark.parametrize("walk", ["random", "random_online", "facial_online"])
+def test_experiment_on_other_walks(spark, tmp_path, walk):
+    if walk == "facial_online":  # a dataset by its name
+        inputs(spark, f"{tmp_path}/data/cora_ml")
+        source = ["--data-dir", f"{tmp_path}/data", "--dataset-name", "CoraML", "--facial-walk-method", "lly"]
+    else:
+        source = inputs(spark, tmp_path)[:4]
+    grid = ex.main([*source, "--final-generated-walks-list", "30", "--epochs", "1", "--walk-type", walk, "--vertex-context-size", "6", "--num-sign-configs", "1", "--early-stop-mode", "edge_overlap", "--eval-generated-walks", "20", "--train-fraction", "0.8"])
     assert grid["link"].count() == 0 and grid["diagnostics"].count() == 1
 
 
 def test_bad_settings():
-    for bad in ({"walk_type": "x"}, {"facial_walk_method": "x"}, {"early_stop_mode": "x"}):
+    for bad in ({"walk_type": "x"}, {"facial_walk_method": "x"}, {"early_stop_mode": "x"}, {"edge_overlap_target": "x"}):
         with pytest.raises(ValueError):
             ex.Config(**bad)
 
 
+def test_overlap_targets(spark):
+    e, n = graph(spark, [(0, 1), (1, 2), (0, 2)])
+    pairs = spark.createDataFrame([(0, 1, "train", True), (1, 2, "val", True), (0, 2, "test", True), (0, 3, "val", False)], "u long, v long, split string, is_pos boolean")
+    got = lambda target, p: rows(ex.overlap_target(ex.Data(e, n, e, p, 3), ex.Config(edge_overlap_target=target)), "u", "v")
+    assert got("validation", pairs) == [(1, 2)] and got("reference", pairs) == got("validation", None) == [(0, 1), (0, 2), (1, 2)]
+
+
 def test_history_files(spark, tmp_path):
     path = f"{tmp_path}/history.json"
     assert ar.read_history(spark, path).count() == 0
