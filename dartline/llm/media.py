@@ -32,6 +32,7 @@ SLICE = 4 << 20
 #: Digests of more than 1 / HOT of all rows (so at most HOT of them) are joined by broadcast.
 HOT = 1000
 WIDTH = 64
+LEVEL = 6
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature and header chunk: length, name, width, height, bits, colour, compression, filter, interlace, crc.
 HEADER, HEAD = ">8sI4sIIBBBBBI", 33
@@ -54,7 +55,7 @@ def png(samples: bytes) -> bytes:
     rows = np.zeros((height, WIDTH + 1), np.uint8)
     rows[:, 1:] = np.frombuffer(samples, np.uint8).reshape(height, WIDTH)
     head = chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, height, 8, 0, 0, 0, 0))
-    return SIGNATURE + head + chunk(b"IDAT", zlib.compress(rows.tobytes(), 1)) + chunk(b"IEND", b"")
+    return SIGNATURE + head + chunk(b"IDAT", zlib.compress(rows.tobytes(), LEVEL)) + chunk(b"IEND", b"")
 
 
 def read_header(head: bytes) -> dict:
@@ -110,7 +111,8 @@ class Shard:
         return self.rows
 
 
-ROW = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
+#: Digests are bytes until the end: half of their hexadecimal form in tables and shuffles.
+ROW = "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"
 
 
 def pack_shards(docs: DataFrame, folder: str, size: int = SHARD) -> DataFrame:
@@ -128,13 +130,13 @@ def pack_shards(docs: DataFrame, folder: str, size: int = SHARD) -> DataFrame:
         context, shard, number, places = TaskContext.get(), None, 0, {}
         for r in rows:
             payload, n = payload_of(r["text"])
-            digest = hashlib.sha256(payload).hexdigest()
+            digest = hashlib.sha256(payload).digest()
             if shard is None:
                 shard = Shard(files, path, f"{context.partitionId():06d}-{context.taskAttemptId():08d}-{number:06d}.tar")
             if digest not in places:
                 if len(places) >= REMEMBERED:
                     places.clear()
-                places[digest] = shard.add(f"{digest}.png", png(payload))
+                places[digest] = shard.add(f"{digest.hex()}.png", png(payload))
             name, offset, length = places[digest]
             shard.rows.append({"doc_id": r["doc_id"], "n_bytes": n, "digest": digest, "shard": name, "offset": offset, "length": length})
             if shard.at >= size or len(shard.rows) >= ROWS:
@@ -165,7 +167,7 @@ def features(samples: bytes) -> str:
 
 
 META = "width int, height int, bits int, samples long"
-MEDIA = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+MEDIA = "payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
 
 
 def of_places(places: DataFrame, folder: str, payload: bool) -> DataFrame:
@@ -181,10 +183,9 @@ def of_places(places: DataFrame, folder: str, payload: bool) -> DataFrame:
             if payload:
                 body = stream.read_at(r["length"], r["offset"])
                 samples = read_samples(body)
-                out |= {
-                    "payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-64:]),
-                    "media_bytes": len(body), "media_sha256": hashlib.sha256(body).hexdigest(), "feature": features(samples),
-                }
+                if hashlib.sha256(samples).digest() != r["digest"]:
+                    raise ValueError(f"{name} at {r['offset']} is damaged: the payload read back has another digest")
+                out |= {"payload_bytes": len(samples), "tail_crc32": zlib.crc32(samples[-64:]), "media_bytes": len(body), "media_sha256": hashlib.sha256(body).digest(), "feature": features(samples)}
             yield out
         if stream is not None:
             stream.close()
@@ -192,7 +193,7 @@ def of_places(places: DataFrame, folder: str, payload: bool) -> DataFrame:
     own = places.select("digest", "shard", "offset", "length", "rows")
     tasks = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: the few bytes that go in mean many to read
     own = own.repartition(tasks, "shard", F.expr(f"offset div {SLICE}")).sortWithinPartitions("shard", "offset")
-    return mapped(own, run, f"digest string, shard string, offset long, length long, rows long, {META}" + (f", {MEDIA}" if payload else ""))
+    return mapped(own, run, f"digest binary, shard string, offset long, length long, rows long, {META}" + (f", {MEDIA}" if payload else ""))
 
 
 def read_metadata(places: DataFrame, folder: str) -> DataFrame:
@@ -201,12 +202,13 @@ def read_metadata(places: DataFrame, folder: str) -> DataFrame:
 
 
 def read_media(places: DataFrame, folder: str) -> DataFrame:
-    """places with META of the header and what the stored payload says: MEDIA."""
+    """places with META of the header and what the stored payload says: MEDIA. A payload whose digest isn't its address
+    is a ValueError, so the address of a row of the result is the digest of what was read back."""
     return of_places(places, folder, True)
 
 
 def media_rows(rows: DataFrame, media: DataFrame) -> DataFrame:
-    """Each document's row (of pack_shards) with its payload's place and media columns.
+    """Each document's row (of pack_shards) with its payload's place, META, MEDIA and payload_sha256; digests in hexadecimal.
 
     Payloads of many rows are joined by broadcast, by the pigeonhole few; the others by digest.
     """
@@ -216,7 +218,8 @@ def media_rows(rows: DataFrame, media: DataFrame) -> DataFrame:
     few = media.where(hot).drop("rows")
     often = own.join(F.broadcast(few), "digest")
     rest = own.join(F.broadcast(few.select("digest")), "digest", "left_anti").join(media.where(~hot).drop("rows"), "digest")
-    return often.unionByName(rest)
+    hexed = {c: F.lower(F.hex(x)) for c, x in (("digest", "digest"), ("payload_sha256", "digest"), ("media_sha256", "media_sha256"))}
+    return often.unionByName(rest).withColumns(hexed)
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
