@@ -291,34 +291,35 @@ def mean_degree(spark, d):
 # curvature
 
 
-@query(with_(sql.SUPPLIERS, sql.DARTS, sql.COMPONENTS, sql.LARGEST, recursive=True) + "SELECT count(*)::DOUBLE - 1 AS edge_sum FROM ln")
+_LARGEST = (sql.SUPPLIERS, sql.DARTS, sql.COMPONENTS, sql.LARGEST)
+
+
+@query(with_(*_LARGEST, sql.RESISTANCES, recursive=True) + "SELECT u, v, round(omega, 6) AS omega FROM le JOIN ids a ON a.id = u JOIN ids b ON b.id = v JOIN om ON om.i = a.i AND om.j = b.i")
 def resistance_distance(spark, d):
-    """The resistances of all edges sum to n - 1."""
-    edges = suppliers(spark, d)
-    own, ids = connectivity.largest_connected_component(edges, ends(edges))
+    """Of the edges."""
+    own, ids = _split_edges(spark, d)
     omega = curvature.resistance_distance(own, ids)
-    return omega.join(own, [omega.i == own.u, omega.j == own.v], "left_semi").agg(F.round(F.sum("omega"), 6).alias("edge_sum"))
+    return omega.join(own, [omega.i == own.u, omega.j == own.v]).select("u", "v", F.round("omega", 6).alias("omega"))
 
 
-@query(with_(sql.SUPPLIERS, sql.DARTS, sql.COMPONENTS, sql.LARGEST, recursive=True) + "SELECT id, count(*) OVER ()::DOUBLE AS solved FROM ln")
+@query(
+    with_(*_LARGEST, sql.RESISTANCES, "rc_rows AS MATERIALIZED (SELECT i, list_append(list(omega ORDER BY j), count(*)::DOUBLE) AS r FROM om GROUP BY i)", sql.solution("rc"), recursive=True)
+    + "SELECT id, round(x[1], 6) + 0.0 AS kappa FROM rc JOIN ids USING (i)"
+)
 def resistance_curvature(spark, d):
-    """omega kappa is the right side, n, at every node."""
-    edges = suppliers(spark, d)
-    own, ids = connectivity.largest_connected_component(edges, ends(edges))
-    own, ids = kept(own), kept(ids)
-    omega = kept(curvature.resistance_distance(own, ids))
-    kappa = curvature.resistance_curvature_from_distance(omega, own, rhs=float(ids.count()))
-    return omega.join(kappa.withColumnRenamed("id", "j"), "j").groupBy(F.col("i").alias("id")).agg(F.round(F.sum(F.col("omega") * F.col("kappa")), 6).alias("solved"))
+    own, ids = _split_edges(spark, d)
+    kappa = curvature.resistance_curvature(own, ids, use_lcc=False, rhs=float(ids.count()))
+    return kappa.select("id", (F.round("kappa", 6) + 0.0).alias("kappa"))
 
 
-@query(with_(sql.SUPPLIERS, sql.DARTS, sql.COMPONENTS, sql.LARGEST, recursive=True) + "SELECT id, 1.0::DOUBLE AS solved FROM ln")
+@query(
+    with_(*_LARGEST, sql.bfs("ln", 6), "sc_rows AS MATERIALIZED (SELECT row_number() OVER (ORDER BY i) AS i, i AS id, r FROM (SELECT i, list_append(list(x::DOUBLE ORDER BY j), 1.0::DOUBLE) AS r FROM x GROUP BY i))", sql.solution("sc"), recursive=True)
+    + "SELECT id, round(x[1], 6) + 0.0 AS kappa FROM sc JOIN sc_rows USING (i)"
+)
 def steinerberger_curvature(spark, d):
-    """D kappa is 1 at every node."""
-    edges = suppliers(spark, d)
-    own, ids = connectivity.largest_connected_component(edges, ends(edges))
-    far = kept(connectivity.distances(kept(own), kept(ids)))
-    kappa = curvature.steinerberger_curvature_from_distance(far, method="lstsq")
-    return far.join(kappa.withColumnRenamed("id", "j"), "j").groupBy(F.col("i").alias("id")).agg(F.round(F.sum(F.col("d") * F.col("kappa")), 6).alias("solved"))
+    own, ids = _split_edges(spark, d)
+    kappa = curvature.steinerberger_curvature(own, ids, use_lcc=False, method="lstsq")
+    return kappa.select("id", (F.round("kappa", 6) + 0.0).alias("kappa"))
 
 
 @query()
@@ -455,11 +456,12 @@ def dart_vertex_sequences(spark, d):
     return rows.select("config", "face", F.array_join(rotation.dart_face_to_vertex_sequence(F.col("darts")).cast("array<string>"), " ").alias("vertices"))
 
 
-@query("SELECT true AS partition")
+@query(with_(*_RANDOM, sql.faces()) + "SELECT (SELECT count(*) FROM (SELECT config, u, v FROM f INTERSECT SELECT config, u, v FROM pi)) = count(*) AND count(*) = (SELECT count(*) FROM pi) AS partition, count(*) AS darts, count(DISTINCT face) AS faces FROM f")
 def faces_partition_darts(spark, d):
     edges = parts(spark, d)
     pi = rotation.pi_from_rotation(kept(rotation.random_rotation(edges, 5)))
-    return spark.createDataFrame([(rotation.check_faces(kept(rotation.faces_from_pi(pi)), pi),)], "partition boolean")
+    found = kept(rotation.faces_from_pi(pi))
+    return found.agg(F.lit(rotation.check_faces(found, pi)).alias("partition"), F.count("*").alias("darts"), F.countDistinct("face").alias("faces"))
 
 
 # chunks
@@ -634,19 +636,21 @@ def seeds_in_parallel(spark, d):
     return scores.seeds_in_parallel(part_scores(spark, d), 13)
 
 
-@query()
+_SUMMED = "s AS MATERIALIZED (SELECT u, v, sum(w) AS w FROM y GROUP BY ALL)"
+
+
+@query(with_(_PART_SCORES, _BOTH, _SUMMED, sql.row_seeds(13), recursive=True) + ", " + sql.filled(13, "2000"))
 def sample_graph(spark, d):
     return scores.sample_graph(part_scores(spark, d), target=2000, seed=13, walk_type="random", parallel_seeds=False)
 
 
 @query(
     with_(
-        _PART_SCORES, _BOTH, "s AS MATERIALIZED (SELECT u, v, sum(w) AS w FROM y GROUP BY ALL)",
+        _PART_SCORES, _BOTH, _SUMMED,
         f"r AS (SELECT u, v FROM s QUALIFY row_number() OVER (PARTITION BY u ORDER BY {sql.exponential_sql('13', chr(39) + 'row' + chr(39), 'u', 'v')} / w, v) = 1)",
         "t AS MATERIALIZED (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM r)",
-        f"f AS (SELECT u, v, row_number() OVER (ORDER BY {sql.exponential_sql('13', chr(39) + 'fill' + chr(39), 'u', 'v')} / w, u, v) AS k FROM s WHERE u < v AND (u, v) NOT IN (SELECT (u, v) FROM t))",
     )
-    + "SELECT u, v FROM t UNION ALL SELECT u, v FROM f WHERE k <= (SELECT least(count(*) // 2, (SELECT count(*) FROM s WHERE u < v)) FROM c) - (SELECT count(*) FROM t)"
+    + ", " + sql.filled(13, "(SELECT count(*) // 2 FROM c)")
 )
 def sample_graph_in_parallel(spark, d):
     """With half as many edges as there are scores."""
@@ -654,7 +658,10 @@ def sample_graph_in_parallel(spark, d):
     return scores.sample_graph(rows, target=rows.count() // 2, seed=13, walk_type="random", one_task=0)
 
 
-@query()
+@query(
+    with_(sql.EVENTS.replace("t AS MATERIALIZED", "tk AS MATERIALIZED"), _EVENT_DARTS.replace("FROM t)", "FROM tk)"), "c AS MATERIALIZED (SELECT u, v, count(*)::DOUBLE AS w FROM x WHERE u <> v GROUP BY ALL)", _BOTH, _SUMMED, sql.row_seeds(3), recursive=True)
+    + ", " + sql.filled(3, "6")
+)
 def reconstruct_graph(spark, d):
     return scores.reconstruct_graph(tables.event_walks(spark, d), VERTICES, walk_type="random", target=6, seed=3)[0]
 
@@ -812,21 +819,24 @@ def model_nll(spark, d):
     return models.negative_log_likelihood(models.train(rows, VERTICES), rows).select(F.round("nll", 6).alias("nll"), "tokens", F.round("perplexity", 6).alias("perplexity"))
 
 
-@query()
+@query(with_(sql.EVENTS, sql.generated(3, 500, 17, True), recursive=True) + "SELECT walk, array_to_string(tokens, ' ') AS tokens FROM gw")
 def generated_facial_walks(spark, d):
     model = models.train(kept(tables.event_walks(spark, d)), VERTICES)
     rows = models.generate_walks(model, 500, length=17, walk_type="facial", seed=3)
     return rows.withColumn("tokens", F.array_join(F.col("tokens").cast("array<string>"), " "))
 
 
-@query()
+@query(with_(sql.EVENTS, sql.generated(3, 500, 12, False), recursive=True) + "SELECT walk, array_to_string(tokens, ' ') AS tokens FROM gw")
 def generated_random_walks(spark, d):
     model = models.train(kept(tables.event_walks(spark, d)), VERTICES)
     rows = models.generate_walks(model, 500, length=12, walk_type="random", block=8, seed=3)
     return rows.withColumn("tokens", F.array_join(F.col("tokens").cast("array<string>"), " "))
 
 
-@query()
+@query(
+    with_(sql.EVENTS, sql.generated(5, 500, 12, False), "pl AS (SELECT unnest(tokens[2:11]) AS u, unnest(tokens[3:12]) AS v FROM gw)", recursive=True)
+    + "SELECT u, v, count(*)::DOUBLE AS w FROM pl WHERE u <> v GROUP BY ALL"
+)
 def model_transition_counts(spark, d):
     model = models.train(kept(tables.event_walks(spark, d)), VERTICES)
     return models.model_transition_counts(model, 500, length=12, walk_type="random", seed=5)
