@@ -61,12 +61,14 @@ def pack(*arrays: np.ndarray) -> bytes:
     parts = []
     for a in arrays:
         a = np.ascontiguousarray(a)
-        kind = a.dtype.str.encode()
+        kind, width = a.dtype.str.encode(), a.dtype.itemsize
+        if a.dtype.kind == "u" and len(a):  # bytes that are 0 in all numbers are left out
+            width = max(1, -(-int(a.max()).bit_length() // 8))
         if a.dtype.itemsize > 1:  # byte planes: high bytes of small numbers are zeros side by side
-            body = a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()
+            body = a.view(np.uint8).reshape(-1, a.dtype.itemsize)[:, :width].T.tobytes()
         else:
             body = a.tobytes()
-        parts.append(len(kind).to_bytes(1, "little") + kind + len(a).to_bytes(8, "little") + body)
+        parts.append(bytes([len(kind)]) + kind + bytes([width]) + len(a).to_bytes(8, "little") + body)
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
@@ -74,11 +76,16 @@ def unpack(value: bytes) -> list[np.ndarray]:
     body, out, at = zstandard.ZstdDecompressor().decompress(bytes(value)), [], 0
     while at < len(body):
         k = body[at]
-        dtype, n = np.dtype(body[at + 1 : at + 1 + k].decode()), int.from_bytes(body[at + 1 + k : at + 9 + k], "little")
-        at += 9 + k
-        raw = np.frombuffer(body, np.uint8, n * dtype.itemsize, at)
-        at += n * dtype.itemsize
-        out.append(np.ascontiguousarray(raw.reshape(dtype.itemsize, n).T).view(dtype).reshape(-1) if dtype.itemsize > 1 else raw.view(dtype))
+        dtype, width = np.dtype(body[at + 1 : at + 1 + k].decode()), body[at + 1 + k]
+        n = int.from_bytes(body[at + 2 + k : at + 10 + k], "little")
+        at += 10 + k
+        raw = np.frombuffer(body, np.uint8, n * width, at)
+        at += n * width
+        if dtype.itemsize > 1:
+            whole = np.zeros((n, dtype.itemsize), np.uint8)
+            whole[:, :width] = raw.reshape(width, n).T
+            raw = whole.reshape(-1)
+        out.append(raw.view(dtype))
     return out
 
 
