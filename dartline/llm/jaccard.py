@@ -76,7 +76,8 @@ def shingles(flat: np.ndarray, lengths: np.ndarray, words: int = WORDS) -> tuple
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(len(lengths), np.int64)
     h, owner = np.concatenate(parts), np.concatenate(owners)
-    order = np.lexsort((h, owner))
+    order = np.argsort(h)
+    order = order[np.argsort(owner[order].astype(np.min_scalar_type(len(lengths))), kind="stable")]
     h, owner = h[order], owner[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
@@ -105,8 +106,9 @@ def chunk_rows(ids: list, texts: list, marks: list[list], chunk: int, buckets: i
     owner = segment_ids(sizes)[keep]
     value = ((h >> np.uint64(LOW)) % np.uint64(buckets)) << np.uint64(LOW) | (h & np.uint64((1 << LOW) - 1))
     distinct, number, count = np.unique(value, return_inverse=True, return_counts=True)
-    order = np.lexsort((number, owner))
-    number, owner = number[order].astype(np.uint32), owner[order]
+    wide = len(distinct).bit_length()
+    both = np.sort(owner << wide | number)
+    number, owner = (both & ((1 << wide) - 1)).astype(np.uint32), both >> wide
     step = number.copy()
     step[1:] = np.where(owner[1:] == owner[:-1], number[1:] - number[:-1], number[1:])
     bucket = (distinct >> np.uint64(LOW)).astype(np.int64)
