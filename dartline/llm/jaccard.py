@@ -27,6 +27,7 @@ Chunks are numbered by scan task, so `docs` must be readable again in the same o
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 
@@ -174,46 +175,58 @@ def prefix(n: int, body: bytes, percent: int) -> np.ndarray:
 
 
 class Merge:
-    """Members of at least `least` of the ascending lists, from the largest down, by a heap of the lists' heads."""
+    """Members of at least `least` of the ascending lists, from the largest down, by a heap of the lists' heads.
+
+    A list's entries are its members with the list's number in the low bits, so a heap of numbers tells both.
+    """
 
     def __init__(self, lists: list[np.ndarray], least: int):
-        self.lists, self.least = lists, least
-        self.heap = [(-int(x[-1]), k, len(x) - 1) for k, x in enumerate(lists) if len(x)]
+        self.least, self.bits = least, len(lists).bit_length()
+        self.heap, self.at = [], [-1] * len(lists)
+        self.lists = [x << self.bits | k for k, x in enumerate(lists)]
+        self.views = [memoryview(x) for x in self.lists]  # single entries of a view are cheap
+        self.begin([len(x) - 1 for x in lists])
+
+    def begin(self, at: list[int]) -> None:
+        self.at[:] = at
+        self.heap[:] = [-self.views[k][i] for k, i in enumerate(at) if i >= 0]
         heapq.heapify(self.heap)
 
     def __iter__(self):
-        heap = self.heap
-        while len(heap) >= self.least:
-            top = heap[0][0]
-            popped = []
-            while heap and heap[0][0] == top:
-                popped.append(heapq.heappop(heap))
-            found = len(popped) if len(popped) >= self.least else 0
-            if found:
-                jump = -top - 1
-            else:  # nothing above the least-th largest head can be in `least` lists
-                while heap and len(popped) < self.least - 1:
-                    popped.append(heapq.heappop(heap))
-                if not heap:
-                    return
-                jump = -heap[0][0]
-            for _, k, i in popped:
-                i = int(np.searchsorted(self.lists[k][: i + 1], jump, side="right")) - 1
+        heap, views, at, bits, least = self.heap, self.views, self.at, self.bits, self.least
+        mask, pop, push, replace = (1 << bits) - 1, heapq.heappop, heapq.heappush, heapq.heapreplace
+        while len(heap) >= least:
+            top, found = -heap[0] >> bits, 0
+            last = -(top << bits)
+            while heap and heap[0] <= last:
+                k = -heap[0] & mask
+                i = at[k] = at[k] - 1
                 if i >= 0:
-                    heapq.heappush(heap, (-int(self.lists[k][i]), k, i))
-            if found:
-                yield -top, found
+                    replace(heap, -views[k][i])
+                else:
+                    pop(heap)
+                found += 1
+            if found >= least:
+                yield top, found
+            elif len(heap) >= least:  # nothing above the least-th largest head can be in `least` lists
+                popped = [pop(heap) for _ in range(least - 1)]
+                jump = -heap[0] | mask
+                for e in popped:
+                    if -e > jump:
+                        k = -e & mask
+                        i = at[k] = bisect.bisect_right(views[k], jump, 0, at[k] + 1) - 1
+                        if i < 0:
+                            continue
+                        e = -views[k][i]
+                    push(heap, e)
 
     def without(self, wanted: np.ndarray) -> None:
         """Takes the members whose place in wanted is False out of what is left of the lists."""
-        left = {k: i for _, k, i in self.heap}
-        self.heap.clear()
-        for k, i in left.items():
+        for k, i in enumerate(self.at):
             x = self.lists[k][: i + 1]
-            x = self.lists[k] = x[wanted[x]]
-            if len(x):
-                self.heap.append((-int(x[-1]), k, len(x) - 1))
-        heapq.heapify(self.heap)
+            self.lists[k] = x[wanted[x >> self.bits]]
+            self.views[k] = memoryview(self.lists[k])
+        self.begin([len(x) - 1 for x in self.lists])
 
 
 class Groups:
@@ -248,8 +261,8 @@ def search(rows: list[dict], percent: int = PERCENT):
     values = [undeltas(unpack(r["shared"])[0]) for r in rows]
     lengths = np.array([len(v) for v in values], np.int64)
     _, token = np.unique(np.concatenate(values), return_inverse=True)
-    # postings: token * k + set, sorted; an inverted list is a range of it
-    postings = np.sort(token * k + segment_ids(lengths))
+    # postings: token * k + set, sorted, and an end; an inverted list is a range of it
+    postings = np.append(np.sort(token * k + segment_ids(lengths)), np.iinfo(np.int64).max)
     ends = np.cumsum(lengths)
     groups = Groups([r["known"] for r in rows])
     label = groups.label
@@ -277,10 +290,10 @@ def search(rows: list[dict], percent: int = PERCENT):
             wanted &= parts != parts[q]
         lists = [postings[a:b] - c for a, b, c in zip(low[short].tolist(), high[short].tolist(), keys[short].tolist(), strict=True)]
         merge = Merge([x[wanted[x]] for x in lists], least - long)
+        probes = np.sort(keys[rest])  # in the order of the postings
         for c, have in merge:
-            asked = keys[rest] + c
-            at = np.minimum(np.searchsorted(postings, asked), len(postings) - 1)
-            common = have + int((postings[at] == asked).sum())
+            asked = probes + c
+            common = have + int(np.count_nonzero(postings[postings.searchsorted(asked)] == asked))
             if 100 * common >= percent * (n + int(sizes[c]) - common):
                 wanted &= label != label[c]
                 groups.join(c, q)
