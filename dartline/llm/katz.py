@@ -5,9 +5,8 @@ p(w | h) = d(r) r / D(h)             if w was seen r > 0 times after the context
 p(w)     = d(c) c / N, or what that leaves over for the one class of all unknown words
 h has order - 1 words at most, fewer near a text's begin, which is a word of its own kind. d are Katz's Good-Turing
 discounts of each length of n-grams for counts up to LARGE. D(h) counts all that follows h; a context whose counts
-are all larger has nothing discounted and counts one more, unseen, so that a(h) is above 0. Unknown contexts,
-and those of two words or more that were seen fewer than LEAST times, are no part of the model: they back
-off at once, with a(h) = 1. What is left is normalised exactly.
+are all larger has nothing discounted and counts one more, unseen, so that a(h) is above 0. Every context that was
+seen in training is part of the model, those seen once, too (LEAST); unknown ones back off at once, with a(h) = 1.
 
 The counts stay in tables partitioned by a hash; no table of words or n-grams is ever in one place.
 1. A chunk of documents keeps its texts as numbers of its distinct words and asks the words' buckets,
@@ -16,7 +15,8 @@ The counts stay in tables partitioned by a hash; no table of words or n-grams is
    D(h); where the n-gram was never seen, also for how many followers of the context were seen once, twice, ... and
    the sum of their p(w | h'), from which a(h) follows. A bucket works that out from the count and D of the
    shorter n-gram, which come with the question and were answered the round before: an n-gram that was seen has
-   an end that was seen. Only contexts of the model are asked about, so each round asks for less.
+   an end that was seen. Only contexts of the model are asked about. From n = 3 on a round goes in PASSES over the
+   buckets, so a share of its questions is on disk at a time; all are asked.
 3. Each token is evaluated by the same recursion: its shorter context's probability is known when its
    longer one is asked about.
 Training and scoring share the questions, so a word or n-gram is sent once a chunk. A context with more
@@ -40,7 +40,10 @@ from dartline.llm.common import Work, WordHashes, deltas, grouped, hash_texts, m
 ORDER = 3
 CHUNK = 6 << 20
 LARGE = 5
-LEAST = 2
+#: Times that a context of two words or more must have been seen.
+LEAST = 1
+#: Parts of the buckets that are asked one after the other about n-grams of three words or more.
+PASSES = 2
 LOW = 40
 #: The bits of a context's hash that are sent; which bucket it has is told by all of them.
 BITS = 44
@@ -235,10 +238,13 @@ class Chunk:
         h = self.h[low:high]
         return low + np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
 
-    def questions(self, chunk: int):
+    def questions(self, chunk: int, part: int = 0, parts: int = 1):
+        """The questions to the buckets with number `part` modulo `parts`."""
         learned = np.bincount(self.at, weights=self.train[self.known], minlength=len(self.h)).astype(np.uint64)
         count, divisor = self.count[self.first], np.broadcast_to(self.divisor, len(self.word))[self.first]
         for b in np.flatnonzero(np.diff(self.cells)).tolist():
+            if b % parts != part:
+                continue
             low, high = int(self.cells[b]), int(self.cells[b + 1])
             first = self.contexts(low, high)
             w = self.w[low:high]
@@ -288,10 +294,10 @@ def answered(rows: list[dict], buckets: int, words: Words, levels: list[Level])
     return c
 
 
-def ngram_questions(rows: list[dict], buckets: int, words: Words, levels: list[Level]):
+def ngram_questions(rows: list[dict], buckets: int, words: Words, levels: list[Level], part: int = 0, parts: int = 1):
     c = answered(rows, buckets, words, levels)
     c.ask()
-    yield from c.questions(rows[0]["chunk"])
+    yield from c.questions(rows[0]["chunk"], part, parts)
 
 
 def answer_ngrams(bucket: int, rows: list[dict], shorter: np.ndarray):
@@ -411,8 +417,11 @@ def score_texts(docs: DataFrame, buckets: int | None = None, order: int = ORDER)
     known, levels = texts.unionByName(counts.where(f"kind = {CELLS}")), []
     for n in range(2, order + 1):
         so_far, shorter = list(levels), levels[-1].d if levels else words.d
-        asked = grouped(known, ["chunk"], lambda _, rows, so_far=so_far: ngram_questions(rows, buckets, words, so_far), WIRE, size=64)
-        pairs = work.keep(grouped(asked, ["to"], lambda key, rows, shorter=shorter: answer_ngrams(key[0], rows, shorter), WIRE, size=64), compression="none")
+        parts, pairs = PASSES if n > 2 else 1, None
+        for part in range(parts):
+            asked = grouped(known, ["chunk"], lambda _, rows, so_far=so_far, part=part, parts=parts: ngram_questions(rows, buckets, words, so_far, part, parts), WIRE, size=64)
+            own = work.keep(grouped(asked, ["to"], lambda key, rows, shorter=shorter: answer_ngrams(key[0], rows, shorter), WIRE, size=64), compression="none")
+            pairs = own if pairs is None else pairs.unionByName(own)
         levels.append(Level(discounts(added(pairs)[: LARGE + 1]), spread_sums(pairs)))
         known = known.unionByName(pairs.where(f"kind = {CELLS}").withColumn("kind", F.lit(ANSWERS + n)))
     return grouped(known, ["chunk"], lambda _, rows: score_chunk(rows, buckets, words, vocabulary, levels), SCORES, size=10_000)

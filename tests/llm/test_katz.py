@@ -104,3 +104,20 @@ def test_nothing_learned(spark):
     held = next(i for i in range(100) if not katz.trains(i))
     rows = katz.score_texts(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()
     assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.score) for r in rows] == [(True, 3, 0, 0, 0.0)]
+
+
+def test_contexts_seen_once_are_part_of_the_model(spark):
+    learned, held = [i for i in range(100) if katz.trains(i)], next(i for i in range(100) if not katz.trains(i))
+    # "b c" is followed by "d" once, "x c" by "e" thrice: the pair "c" alone speaks for "e"
+    rows = [(learned[0], "b c d"), *[(i, "x c e") for i in learned[1:4]], (held, "b c d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    katz_score = {r.doc_id: r.score for r in katz.score_texts(docs, order=3).collect()}
+    pairs = {r.doc_id: r.score for r in katz.score_texts(docs, order=2).collect()}
+    assert katz_score[held] > pairs[held]
+    check(docs, 3)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_passes_ask_everything(spark, monkeypatch, parts):
+    monkeypatch.setattr(katz, "PASSES", parts)
+    check(awkward(spark), 4, buckets=5)
