@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from dartline.operators.connectivity import characteristic_path_length
 from dartline.operators.graph import darts, degrees
+from dartline.operators.triangles import triangle_count
+from dartline.plans.work import Work
 
 DIGITS = 6
 
@@ -38,15 +40,11 @@ def triangles(edges: DataFrame) -> DataFrame:
     return wedge.select("a", "b", "c").join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"])
 
 
-def triangle_count(edges: DataFrame) -> DataFrame:
-    return triangles(edges).agg(F.count("*").alias("triangles"))
-
-
-def clustering_coefficient(edges: DataFrame) -> DataFrame:
-    """3 triangles / paths of two edges; 0.0 without such paths."""
+def clustering_coefficient(edges: DataFrame, count: DataFrame | None = None) -> DataFrame:
+    """3 triangles / paths of two edges; 0.0 without such paths. count: triangle_count, if it is known."""
     paths = degrees(edges).agg(F.sum(F.col("degree") * (F.col("degree") - 1) / 2).alias("wedges"))
     share = F.try_divide(3.0 * F.col("triangles"), F.col("wedges"))
-    return triangle_count(edges).crossJoin(paths).select(F.coalesce(F.when(F.col("wedges") > 0, share), F.lit(0.0)).alias("clustering"))
+    return (triangle_count(edges) if count is None else count).crossJoin(paths).select(F.coalesce(F.when(F.col("wedges") > 0, share), F.lit(0.0)).alias("clustering"))
 
 
 def power_law_exponent(edges: DataFrame, xmin: int = 1) -> DataFrame:
@@ -70,7 +68,8 @@ def community_density(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def compute_graph_statistics(edges: DataFrame, nodes: DataFrame | None = None, *, labels: bool = False, path_length: bool = True, digits: int = DIGITS) -> DataFrame:
     """metric, value in long form: six metrics, with labels two more. nodes: needed for path length and labels."""
-    parts = [max_degree(edges), degree_assortativity(edges), triangle_count(edges), power_law_exponent(edges), clustering_coefficient(edges)]
+    count = Work(edges.sparkSession).keep(triangle_count(edges))
+    parts = [max_degree(edges), degree_assortativity(edges), count, power_law_exponent(edges), clustering_coefficient(edges, count)]
     if path_length:
         parts.append(characteristic_path_length(edges, nodes))
     if labels:

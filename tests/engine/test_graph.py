@@ -117,6 +117,25 @@ def test_statistics_of_toy(spark):
     assert got == {"max_degree": 3.0, "assortativity": -0.666667, "triangles": 2.0, "power_law": 1.629316, "clustering": 0.75, "path_length": 1.166667}
 
 
+def test_triangles_are_counted_without_a_row_a_path(spark, monkeypatch):
+    from dartline.operators import triangles as t
+    from dartline.sources.tables import erdos_renyi
+
+    e = erdos_renyi(spark, 70, 0.2, 4).unionByName(spark.range(1000, 1060).select(F.lit(3).cast("long").alias("u"), F.col("id").alias("v")))
+    want = s.triangles(e).count()
+    assert s.triangle_count(e).first()[0] == want > 0
+    monkeypatch.setattr(t, "PART", 100)  # many parts
+    monkeypatch.setattr(t, "PAIRS", 50)
+    monkeypatch.setattr(t, "PACKED", 64)
+    monkeypatch.setattr(t, "SENT", 10)
+    counted = s.triangle_count(e)
+    assert counted.first()[0] == want
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2  # edges with numbers, no paths
+    monkeypatch.setattr(t, "PART", 1)  # parts without edges
+    assert s.triangle_count(graph(spark, TOY)[0]).first()[0] == 2
+
+
 def test_triangle_with_labels(spark):
     e, _ = graph(spark, [(0, 1), (0, 2), (1, 2)])
     n = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "id long, label int")
