@@ -105,6 +105,18 @@ def buckets_of(values: np.ndarray, buckets: int) -> np.ndarray:
         return (mix(values.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
+def numbered_values(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and each value's place in them; only the distinct ones are sorted."""
+    import pyarrow as pa
+
+    coded = pa.array(values).dictionary_encode()
+    distinct = coded.dictionary.to_numpy()
+    order = np.argsort(distinct)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], place[coded.indices.to_numpy()]
+
+
 def chunk_rows(ids: list, texts: list, chunk: int, buckets: int, hashes: WordHashes):
     """A chunk's texts, and its words with their training counts as questions to their buckets."""
     flat, lengths = hash_texts(texts, hashes)
@@ -112,7 +124,8 @@ def chunk_rows(ids: list, texts: list, chunk: int, buckets: int, hashes: WordHas
     lengths += 1
     train = np.array([trains(i) for i in ids])
     value = ((flat >> np.uint64(LOW)) % np.uint64(buckets)) << np.uint64(LOW) | (flat & np.uint64((1 << LOW) - 1))
-    distinct, number, count = np.unique(value, return_inverse=True, return_counts=True)
+    distinct, number = numbered_values(value)
+    count = np.bincount(number, minlength=len(distinct))
     learned = np.bincount(number, weights=np.repeat(train, lengths), minlength=len(distinct)).astype(np.uint64)
     # texts hold ranks by frequency in the chunk, which are small numbers
     rank = np.empty(len(distinct), np.uint32)
@@ -183,8 +196,11 @@ class Chunk:
         self.p = words(self.count)
         self.word_count = self.count
 
-    def ask(self) -> None:
-        """The distinct n-grams, one longer than before, in contexts of the model, by bucket, context and word."""
+    def ask(self, part: int = 0, parts: int = 1) -> None:
+        """The distinct n-grams, one longer than before, in contexts of the model, by bucket, context and word.
+
+        With parts, those that only buckets with other numbers than `part` modulo `parts` are asked about may be left out.
+        """
         self.n += 1
         count = np.empty_like(self.count)
         count[1:] = self.count[:-1]
@@ -211,6 +227,11 @@ class Chunk:
             contexts = contexts[order]
             number[own[order]] = np.arange(len(own))
             number = number[shorter]
+        bucket = buckets_of(contexts, self.buckets)
+        if parts > 1:
+            own = bucket[number] % parts == part
+            own |= count[self.known].astype(np.float64) * self.buckets > self.words.tokens  # spread contexts go everywhere
+            self.known, number = self.known[own], number[own]
         wide = len(self.word_id).bit_length()
         key, order = ordered(number << wide | self.word[self.known])
         new = np.ones(len(key), bool)
@@ -221,7 +242,7 @@ class Chunk:
         number = pair >> wide
         h, w = contexts[number], self.word_id[pair & ((1 << wide) - 1)]
         spread = count[first].astype(np.float64) * self.buckets > self.words.tokens
-        to = buckets_of(contexts, self.buckets)[number]
+        to = bucket[number]
         with np.errstate(over="ignore"):
             to[spread] = buckets_of(h[spread] * STEP + w[spread], self.buckets)
         # contexts and words are in order already
@@ -296,7 +317,7 @@ def answered(rows: list[dict], buckets: int, words: Words, levels: list[Level])
 
 def ngram_questions(rows: list[dict], buckets: int, words: Words, levels: list[Level], part: int = 0, parts: int = 1):
     c = answered(rows, buckets, words, levels)
-    c.ask()
+    c.ask(part, parts)
     yield from c.questions(rows[0]["chunk"], part, parts)
 
 
