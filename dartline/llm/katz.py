@@ -17,8 +17,8 @@ The counts stay in tables partitioned by a hash; no table of words or n-grams is
    shorter n-gram, which come with the question and were answered the round before: an n-gram that was seen has
    an end that was seen. Only contexts of the model are asked about. From n = 3 on a round goes in PASSES over the
    buckets, so a share of its questions is on disk at a time; all are asked.
-3. Each token is evaluated by the same recursion: its shorter context's probability is known when its
-   longer one is asked about.
+3. When all is answered each token is evaluated by the same recursion, from short contexts to long ones. A round
+   of questions needs counts and D only.
 Training and scoring share the questions, so a word or n-gram is sent once a chunk. A context with more
 than a bucket's share of all tokens is spread over all buckets by n-gram; there are fewer such contexts
 of each length than buckets, and their sums go to every task.
@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dartline.llm.common import Work, WordHashes, deltas, grouped, hash_texts, mix, ordered, pack, row_slices, segment_ids, table, undeltas, unpack
+from dartline.llm.common import Work, deltas, grouped, mix, ordered, pack, table, text_slices, undeltas, unpack
 
 ORDER = 3
 CHUNK = 6 << 20
@@ -117,16 +117,38 @@ def numbered_values(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct[order], place[coded.indices.to_numpy()]
 
 
-def chunk_rows(ids: list, texts: list, chunk: int, buckets: int, hashes: WordHashes):
-    """A chunk's texts, and its words with their training counts as questions to their buckets."""
-    flat, lengths = hash_texts(texts, hashes)
-    flat = np.insert(flat, np.cumsum(lengths), END)
-    lengths += 1
+def token_hashes(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of an Arrow array of texts the hashes of distinct words, the END among them; each token's place there; each text's number of tokens.
+
+    A text is its words, A-Z lower-cased, and its end. Only distinct words become Python objects.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import xxhash
+
+    # Arrow's white space are the six ASCII spaces; next to a text's begin or end they leave empty words
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = split.flatten()
+    filled = pc.binary_length(flat).to_numpy() > 0
+    words = flat.filter(pa.array(filled)).dictionary_encode()
+    distinct = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+    up_to = np.concatenate([[0], np.cumsum(filled)])
+    ends = up_to[np.cumsum(pc.list_value_length(split).to_numpy())]
+    token = np.insert(words.indices.to_numpy().astype(np.int64), ends, len(hashes))
+    return np.append(hashes, END), token, np.diff(ends, prepend=0) + 1
+
+
+def chunk_rows(rows, chunk: int, buckets: int):
+    """A chunk's texts (doc_id and text of an Arrow batch), and its words with their training counts as questions to their buckets."""
+    ids = rows.column("doc_id").to_pylist()
+    hashes, token, lengths = token_hashes(rows.column("text"))
     train = np.array([trains(i) for i in ids])
-    value = ((flat >> np.uint64(LOW)) % np.uint64(buckets)) << np.uint64(LOW) | (flat & np.uint64((1 << LOW) - 1))
+    value = ((hashes >> np.uint64(LOW)) % np.uint64(buckets)) << np.uint64(LOW) | (hashes & np.uint64((1 << LOW) - 1))
     distinct, number = numbered_values(value)
+    number = number[token]
     count = np.bincount(number, minlength=len(distinct))
-    learned = np.bincount(number, weights=np.repeat(train, lengths), minlength=len(distinct)).astype(np.uint64)
+    learned = np.bincount(number[np.repeat(train, lengths)], minlength=len(distinct)).astype(np.uint64)
     # texts hold ranks by frequency in the chunk, which are small numbers
     rank = np.empty(len(distinct), np.uint32)
     rank[np.argsort(-count, kind="stable")] = np.arange(len(distinct), dtype=np.uint32)
@@ -166,20 +188,18 @@ def sums_row(bucket: int, total: np.ndarray) -> dict:
 
 
 class Chunk:
-    """A chunk's texts, and its tokens' probabilities under contexts of growing length."""
+    """A chunk's texts, and what is known of its tokens' n-grams of growing length; if scored, the tokens' probabilities, too."""
 
-    def __init__(self, rows: list[dict], buckets: int, words: Words):
+    def __init__(self, rows: list[dict], buckets: int, words: Words, scored: bool = False):
         own = next(r for r in rows if r["kind"] == TEXTS)
         self.ids, self.missing, self.lengths, cells, rank, text = unpack(own["body"])
-        self.buckets, self.words, self.n, n = buckets, words, 1, len(rank)
+        self.buckets, self.words, self.scored, self.n, n = buckets, words, scored, 1, len(rank)
         starts = np.concatenate([[0], np.cumsum(cells.astype(np.int64))])
         count, ids = np.zeros(starts[-1], np.uint64), np.zeros(starts[-1], np.uint64)
         for r in rows:
             if r["kind"] == CELLS:
                 c, i = unpack(r["body"])
                 count[starts[r["to"]] : starts[r["to"] + 1]], ids[starts[r["to"]] : starts[r["to"] + 1]] = c, i
-        by_rank = np.zeros(n, np.uint64)
-        by_rank[rank] = count
         # words are numbered by id: UNKNOWN, BEGIN, then the known ones
         order = np.flatnonzero(ids != UNKNOWN)
         order = order[np.argsort(ids[order])]
@@ -187,118 +207,121 @@ class Chunk:
         number = np.full(n, UNKNOWN, np.int64)
         number[rank[order]] = FIRST + np.arange(len(order))
         self.word = number[text]
-        train = np.array([not m and trains(i) for i, m in zip(self.ids.tolist(), self.missing.tolist(), strict=True)], bool)
-        self.train = np.repeat(train, self.lengths)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        # of every token's n-gram: its count, and D of its context
-        self.count = by_rank[text]
-        self.divisor = np.uint64(words.total)
-        self.p = words(self.count)
-        self.word_count = self.count
+        # of the n-grams of this length: each token's (-1: none that was asked about), their counts, and D of their contexts
+        self.place = self.word
+        self.total = np.concatenate([np.zeros(FIRST, np.uint64), count[order]])
+        self.divisor = np.full(len(self.total), words.total, np.uint64)
+        if scored:
+            self.word_count, self.p = self.total, words(self.total)[self.word]
 
     def ask(self, part: int = 0, parts: int = 1) -> None:
         """The distinct n-grams, one longer than before, in contexts of the model, by bucket, context and word.
 
-        With parts, those that only buckets with other numbers than `part` modulo `parts` are asked about may be left out.
+        With parts, only those that buckets with number `part` modulo `parts` are asked about.
         """
         self.n += 1
-        count = np.empty_like(self.count)
-        count[1:] = self.count[:-1]
+        context = np.empty(len(self.word), np.int64)  # of every token: the n-gram before
+        context[1:] = self.place[:-1]
         if self.n == 2:
-            number = np.empty(len(self.word), np.int64)
-            number[1:] = self.word[:-1]
-            number[self.starts], count[self.starts] = BEGIN, np.uint64(self.words.tokens)  # the begin is always spread
-            contexts = self.word_id
-            self.known = np.flatnonzero(number != UNKNOWN)
-            number = number[self.known]
-        else:  # the n-grams before are the contexts now
-            count[self.starts] = 0
-            shorter = np.empty(len(self.word), np.int64)
-            shorter[self.known] = self.at
-            self.known = np.flatnonzero(count >= LEAST)
-            shorter = shorter[self.known - 1]
-            number = np.zeros(len(self.h), np.int64)
-            number[shorter] = 1
-            own = np.flatnonzero(number)
+            context[self.starts] = BEGIN
+            own = np.arange(BEGIN, len(self.word_id))
+            hashes, count = self.word_id[own], self.total[own]
+            count[0] = self.words.tokens  # the begin is always spread
+        else:
+            context[self.starts] = -1
+            own = np.flatnonzero(self.total >= LEAST)
+            with np.errstate(over="ignore"):
+                hashes, count = mix(self.context[own] * STEP + self.w[own]), self.total[own]
+        bucket = buckets_of(hashes, self.buckets)
+        spread = count.astype(np.float64) * self.buckets > self.words.tokens
+        whole = ~spread if parts == 1 else ~spread & (bucket % parts == part)
+        # of each context, by the bits that are sent: its number; -1: not asked about; -2, -3, ...: spread
+        number = np.full(len(self.total) + 1, -1, np.int64)  # the last one is of no context
+        number[own[spread]] = -2 - np.arange(np.count_nonzero(spread))
+        entry = bucket[whole].astype(np.uint64) << np.uint64(BITS) | hashes[whole] & SENT
+        number[own[whole]] = np.arange(len(entry))
+        hashes, apart = hashes[whole], hashes[spread]
+        number = number[context]
+        # a spread context comes once for each bucket that its n-grams go to
+        dealt, at = np.flatnonzero(number < -1), len(entry)
+        if len(dealt):
+            h = -2 - number[dealt]
             with np.errstate(over="ignore"):
-                contexts = mix(self.context[own] * STEP + self.w[own])
-            # by the bits that are sent, then by the others
-            order = np.argsort(contexts << np.uint64(64 - BITS) | contexts >> np.uint64(BITS))
-            contexts = contexts[order]
-            number[own[order]] = np.arange(len(own))
-            number = number[shorter]
-        bucket = buckets_of(contexts, self.buckets)
-        if parts > 1:
-            own = bucket[number] % parts == part
-            own |= count[self.known].astype(np.float64) * self.buckets > self.words.tokens  # spread contexts go everywhere
-            self.known, number = self.known[own], number[own]
+                to = buckets_of(apart[h] * STEP + self.word_id[self.word[dealt]], self.buckets)
+            number[dealt] = -1
+            if parts > 1:
+                own = to % parts == part
+                dealt, h, to = dealt[own], h[own], to[own]
+            distinct, place = numbered_values(to.astype(np.uint64) << np.uint64(BITS) | apart[h] & SENT)
+            number[dealt] = at + place
+            full = np.empty(len(distinct), np.uint64)
+            full[place] = apart[h]
+            entry, hashes = np.concatenate([entry, distinct]), np.concatenate([hashes, full])
+        order = np.argsort(entry)
+        rank = np.empty(len(entry) + 1, np.int64)
+        rank[order], rank[-1] = np.arange(len(entry)), -1
+        entry, hashes = entry[order], hashes[order]
+        number = rank[number]
+        self.known = np.flatnonzero(number >= 0)
         wide = len(self.word_id).bit_length()
-        key, order = ordered(number << wide | self.word[self.known])
+        key, place = ordered(number[self.known] << wide | self.word[self.known])
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         self.at = np.empty(len(key), np.int64)
-        self.at[order] = np.cumsum(new) - 1
-        first, pair = self.known[order[new]], key[new]  # a token of each
+        self.at[place] = np.cumsum(new) - 1
+        self.first, pair = self.known[place[new]], key[new]  # a token of each
         number = pair >> wide
-        h, w = contexts[number], self.word_id[pair & ((1 << wide) - 1)]
-        spread = count[first].astype(np.float64) * self.buckets > self.words.tokens
-        to = bucket[number]
-        with np.errstate(over="ignore"):
-            to[spread] = buckets_of(h[spread] * STEP + w[spread], self.buckets)
-        # contexts and words are in order already
-        order = np.argsort(to.astype(np.min_scalar_type(self.buckets)), kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.at = place[self.at]
-        self.context, self.w, self.spread, self.first = h[order], w[order], spread[order], first[order]
-        self.h = self.context & SENT
-        self.cells = np.concatenate([[0], np.cumsum(np.bincount(to, minlength=self.buckets))])
-
-    def contexts(self, low: int, high: int) -> np.ndarray:
-        """Where the contexts of n-grams low..high-1 begin."""
-        h = self.h[low:high]
-        return low + np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-
-    def questions(self, chunk: int, part: int = 0, parts: int = 1):
-        """The questions to the buckets with number `part` modulo `parts`."""
-        learned = np.bincount(self.at, weights=self.train[self.known], minlength=len(self.h)).astype(np.uint64)
-        count, divisor = self.count[self.first], np.broadcast_to(self.divisor, len(self.word))[self.first]
+        self.context, self.w = hashes[number], self.word_id[pair & ((1 << wide) - 1)]
+        # of contexts: where their n-grams begin, and how many they have
+        self.begin = np.flatnonzero(np.diff(number, prepend=-1))
+        self.size = np.diff(self.begin, append=len(number))
+        own = number[self.begin]
+        self.h, self.spread = entry[own] & SENT, order[own] >= at
+        # where the buckets' contexts begin, and their n-grams
+        self.rows = np.searchsorted(entry[own], np.arange(self.buckets + 1, dtype=np.uint64) << np.uint64(BITS))
+        self.cells = np.append(self.begin, len(number))[self.rows]
+
+    def questions(self, chunk: int):
+        """The questions to the buckets."""
+        train = np.array([not m and trains(i) for i, m in zip(self.ids.tolist(), self.missing.tolist(), strict=True)], bool)
+        learned = np.bincount(self.at[np.repeat(train, self.lengths)[self.known]], minlength=len(self.first)).astype(np.uint64)
+        shorter = self.place[self.first]
+        count, divisor = self.total[shorter], self.divisor[shorter[self.begin]]
+        step = np.diff(self.w, prepend=np.uint64(0))
+        step[self.begin] = self.w[self.begin]
+        size, spread = self.size.astype(np.uint32), self.spread.astype(np.uint8)
         for b in np.flatnonzero(np.diff(self.cells)).tolist():
-            if b % parts != part:
-                continue
-            low, high = int(self.cells[b]), int(self.cells[b + 1])
-            first = self.contexts(low, high)
-            w = self.w[low:high]
-            step = np.diff(w, prepend=np.uint64(0))
-            step[first - low] = w[first - low]
-            body = pack(deltas(self.h[first]), np.diff(first, append=high).astype(np.uint32), step, learned[low:high], count[low:high], divisor[first], self.spread[first].astype(np.uint8))
+            own, all_of = slice(*self.rows[b : b + 2].tolist()), slice(*self.cells[b : b + 2].tolist())
+            body = pack(deltas(self.h[own]), size[own], step[all_of], learned[all_of], count[all_of], divisor[own], spread[own])
             yield {"kind": CELLS, "to": b, "chunk": chunk, "body": body}
 
     def take(self, answers: list[dict], level: Level) -> None:
-        """The tokens' probabilities by the answers to the last questions."""
-        total = np.zeros(len(self.h), np.uint64)
-        divisor, weight = np.ones(len(self.h), np.uint64), np.ones(len(self.h))
+        """The n-grams' counts and contexts' D by the answers to the last questions; if scored, the tokens' probabilities."""
+        total = np.zeros(len(self.first), np.uint64)
+        divisor, weight = np.ones(len(self.begin), np.uint64), np.ones(len(self.begin))
         for r in answers:
-            low, high = int(self.cells[r["to"]]), int(self.cells[r["to"] + 1])
+            (low, high), (start, end) = self.rows[r["to"] : r["to"] + 2].tolist(), self.cells[r["to"] : r["to"] + 2].tolist()
             counts, div, *sums = unpack(r["body"])
-            total[low:high] = counts
-            first = self.contexts(low, high)
-            n = np.diff(first, append=high)
-            whole = ~self.spread[first]
-            d, a = np.ones(len(first), np.uint64), np.ones(len(first))
-            d[whole] = div
-            needy = lacking(counts, first - low) & whole
-            a[needy] = context_weights(d[needy], sums[:-1], sums[-1], level.d)
-            divisor[low:high], weight[low:high] = np.repeat(d, n), np.repeat(a, n)
+            total[start:end] = counts
+            whole = ~self.spread[low:high]
+            divisor[low:high][whole] = div
+            if self.scored:
+                needy = low + np.flatnonzero(lacking(counts, self.begin[low:high] - start) & whole)
+                weight[needy] = context_weights(divisor[needy], sums[:-1], sums[-1], level.d)
         if self.spread.any():
             ids, div, *sums = level.spread
             own = np.searchsorted(ids, self.h[self.spread])
-            divisor[self.spread], weight[self.spread] = div[own], context_weights(div, sums[:-1], sums[-1], level.d)[own]
-        seen = total > 0
-        of_seen = np.where(seen, discounted(total, level.d) / divisor, 0.0)
-        self.p[self.known] = np.where(seen[self.at], of_seen[self.at], weight[self.at] * self.p[self.known])
-        self.count, self.divisor = np.zeros(len(self.word), np.uint64), np.ones(len(self.word), np.uint64)
-        self.count[self.known], self.divisor[self.known] = total[self.at], divisor[self.at]
+            divisor[self.spread] = div[own]
+            if self.scored:
+                weight[self.spread] = context_weights(div, sums[:-1], sums[-1], level.d)[own]
+        if self.scored:
+            of_seen = discounted(total, level.d) / np.repeat(divisor, self.size)
+            p = np.where(total > 0, of_seen, np.repeat(weight, self.size) * self.p[self.first])
+            self.p[self.known] = p[self.at]
+        self.place = np.full(len(self.word), -1, np.int64)
+        self.place[self.known] = self.at
+        self.total, self.divisor = total, np.repeat(divisor, self.size)
 
 
 def lacking(total: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -306,9 +329,9 @@ def lacking(total: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(total, first) == 0
 
 
-def answered(rows: list[dict], buckets: int, words: Words, levels: list[Level]) -> Chunk:
+def answered(rows: list[dict], buckets: int, words: Words, levels: list[Level], scored: bool = False) -> Chunk:
     """A chunk with all that is known so far."""
-    c = Chunk(rows, buckets, words)
+    c = Chunk(rows, buckets, words, scored)
     for level in levels:
         c.ask()
         c.take([r for r in rows if r["kind"] == ANSWERS + c.n], level)
@@ -318,7 +341,7 @@ def answered(rows: list[dict], buckets: int, words: Words, levels: list[Level])
 def ngram_questions(rows: list[dict], buckets: int, words: Words, levels: list[Level], part: int = 0, parts: int = 1):
     c = answered(rows, buckets, words, levels)
     c.ask(part, parts)
-    yield from c.questions(rows[0]["chunk"], part, parts)
+    yield from c.questions(rows[0]["chunk"])
 
 
 def answer_ngrams(bucket: int, rows: list[dict], shorter: np.ndarray):
@@ -334,32 +357,37 @@ def answer_ngrams(bucket: int, rows: list[dict], shorter: np.ndarray):
         run = np.cumsum(step, dtype=np.uint64)
         first = np.cumsum(n) - n
         w = run - np.repeat(run[first] - step[first], n)
-        asked.append((h, n, w, learned, count, np.repeat(divisor, n), spread, first))
-    h = np.concatenate([np.repeat(a[0], a[1]) for a in asked])
-    w = np.concatenate([a[2] for a in asked])
-    order = np.lexsort((w, h))
-    hs, ws = h[order], w[order]
-    new = np.concatenate([[True], (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])])
+        asked.append((h, n, w, learned, count, divisor, spread, first))
+    h, n, w, learned, count, divisor = (np.concatenate([a[k] for a in asked]) for k in range(6))
+    context, of = numbered_values(h)
+    number = np.repeat(of, n)
+    wide = int(w.max()).bit_length()
+    if wide + len(context).bit_length() < 64:
+        key, order = sorted_places(number << wide | w.astype(np.int64))
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+    else:
+        order = np.lexsort((w, number))
+        new = np.concatenate([[True], (np.diff(number[order]) != 0) | (np.diff(w[order]) != 0)])
     first = np.flatnonzero(new)
-    total = np.add.reduceat(np.concatenate([a[3] for a in asked])[order], first)
-    count, divisor = (np.concatenate([a[k] for a in asked])[order][first] for k in (4, 5))
-    p = np.where(total > 0, discounted(count, shorter) / divisor, 0.0)
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new) - 1
-    context, begin = np.unique(hs[first], return_index=True)
+    total = np.add.reduceat(learned[order], first)
+    one = order[first]  # a question about each
+    p = np.where(total > 0, discounted(count[one], shorter) / np.repeat(divisor, n)[one], 0.0)
+    begin = np.flatnonzero(np.diff(number[one], prepend=-1))
+    of_all = np.empty(len(order), np.uint64)
+    of_all[order] = total[np.cumsum(new) - 1]
     seen = [np.add.reduceat((total == r).astype(np.uint64), begin) for r in range(1, LARGE + 1)]
     div = np.add.reduceat(total, begin)
     sums = [*seen, np.add.reduceat(p, begin)]
-    spread, at = set(), 0
+    spread, at, row = set(), 0, 0
     more = ~np.logical_or.reduce([s > 0 for s in seen])  # nothing is discounted: one more, unseen
+    divisor = div + more
     for r, a in zip(rows, asked, strict=True):
-        counts = total[number[at : at + len(a[2])]]
-        at += len(a[2])
-        own = np.searchsorted(context, a[0])
+        counts, own = of_all[at : at + len(a[2])], of[row : row + len(a[0])]
+        at, row = at + len(a[2]), row + len(a[0])
         whole = a[6] == 0
         needy = own[lacking(counts, a[7]) & whole]
         spread.update(a[0][~whole].tolist())
-        yield {"kind": CELLS, "to": bucket, "chunk": r["chunk"], "body": pack(counts, (div + more)[own[whole]], *[s[needy] for s in sums])}
+        yield {"kind": CELLS, "to": bucket, "chunk": r["chunk"], "body": pack(counts, divisor[own[whole]], *[s[needy] for s in sums])}
     yield sums_row(bucket, total)
     if spread:
         ids = np.array(sorted(spread), np.uint64)
@@ -367,6 +395,14 @@ def answer_ngrams(bucket: int, rows: list[dict], shorter: np.ndarray):
         yield {"kind": PARTS, "to": bucket, "chunk": None, "body": pack(ids, div[own], *[s[own] for s in sums])}
 
 
+def sorted_places(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ordered(), but equal numbers that are too large for it come in any order."""
+    if int(values.max()).bit_length() + len(values).bit_length() < 64:
+        return ordered(values)
+    order = np.argsort(values)
+    return values[order], order
+
+
 def context_weights(divisor: np.ndarray, seen: list[np.ndarray], p: np.ndarray, d: np.ndarray) -> np.ndarray:
     """a(h) of contexts, from D(h), how many followers were seen 1..LARGE times, and their sum of p(w | h')."""
     left = sum((1 - d[r - 1]) * r * s.astype(np.float64) for r, s in enumerate(seen, 1))
@@ -389,10 +425,10 @@ def spread_sums(pairs: DataFrame) -> list[np.ndarray]:
 
 def score_chunk(rows: list[dict], buckets: int, words: Words, vocabulary: int, levels: list[Level]):
     """One row a document: its tokens, base score and score."""
-    c = answered(rows, buckets, words, levels)
-    count = c.word_count.astype(np.float64)
-    base = np.log10((count + 0.5) / (words.tokens + 0.5 * (vocabulary + 1)))
-    columns = (c.lengths, *[np.add.reduceat(x, c.starts) for x in ((count > 0).astype(np.int64), base, np.log10(c.p))])
+    c = answered(rows, buckets, words, levels, scored=True)
+    base = np.log10((c.word_count.astype(np.float64) + 0.5) / (words.tokens + 0.5 * (vocabulary + 1)))
+    known = (c.word_count > 0).astype(np.int64)
+    columns = (c.lengths, *[np.add.reduceat(x, c.starts) for x in (known[c.word], base[c.word], np.log10(c.p))])
     for i, missing, n, known, b, s in zip(c.ids.tolist(), c.missing.tolist(), *[x.tolist() for x in columns], strict=True):
         held = not missing and not trains(i)
         yield {"doc_id": None if missing else i, "held_out": held, "n_tokens": n, "n_known": known, "train_tokens": words.tokens, "base_score": b, "score": s}
@@ -421,10 +457,10 @@ def score_texts(docs: DataFrame, buckets: int | None = None, order: int = ORDER)
         import pyarrow as pa
         from pyspark import TaskContext
 
-        hashes, at = WordHashes(), TaskContext.get().partitionId() << 24
+        at = TaskContext.get().partitionId() << 24
         schema = pa.schema([("kind", pa.int32()), ("to", pa.int64()), ("chunk", pa.int64()), ("body", pa.binary())])
-        for rows in row_slices(batches, CHUNK):
-            yield pa.RecordBatch.from_pylist(list(chunk_rows(rows["doc_id"], rows["text"], at, buckets, hashes)), schema=schema)
+        for rows in text_slices(batches, CHUNK):
+            yield pa.RecordBatch.from_pylist(list(chunk_rows(rows, at, buckets)), schema=schema)
             at += 1
 
     written = work.keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(split, WIRE), by="kind", compression="none")

@@ -3,9 +3,12 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from dartline.llm import katz
+from dartline.llm.common import unpack, words_of
 from tests.llm.fixtures import awkward, empty
 
 
@@ -121,3 +124,54 @@ def test_contexts_seen_once_are_part_of_the_model(spark):
 def test_passes_ask_everything(spark, monkeypatch, parts):
     monkeypatch.setattr(katz, "PASSES", parts)
     check(awkward(spark), 4, buckets=5)
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_spread_contexts_of_any_length(spark, monkeypatch, parts):
+    monkeypatch.setattr(katz, "PASSES", parts)
+    texts = ["a b " * 9, "a b " * 5 + "c", "b a b d", "a b c", " ", None, "A B\tA\u00a0B \x1c a"]
+    check(spark.createDataFrame(list(enumerate(texts * 4)), "doc_id long, text string"), 4, buckets=7)
+
+
+def test_only_distinct_words_are_hashed(monkeypatch):
+    import xxhash
+
+    texts, made = [None, "", " \t", "A b\x0ba ", "\x1cb\x85 b\u2003b\r\n\x0c\u00c4 \u00e4 a\x00", "b", None], []
+    real = xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda word: made.append(bytes(word)) or real(word))
+    hashes, token, lengths = katz.token_hashes(pa.array(["cut off", *texts], pa.string())[1:])
+    words = [words_of(t) for t in texts]
+    assert sorted(made) == sorted({w for own in words for w in own})
+    assert lengths.tolist() == [len(own) + 1 for own in words]
+    assert hashes[token].tolist() == [h for own in words for h in [*map(real, own), int(katz.END)]]
+    hashes, token, lengths = katz.token_hashes(pa.array([], pa.string()))
+    assert token.tolist() == lengths.tolist() == []
+
+
+def test_questions_ask_without_probabilities(monkeypatch):
+    """Tokens' probabilities and contexts' weights are worked out once, for the scores, not for each round of questions."""
+    ids = [i for i in range(40) if katz.trains(i)][:3]
+    batch = pa.RecordBatch.from_pydict({"doc_id": ids, "text": ["a b c", "a b d", "e b c a"]})
+    rows, asked, buckets = [], {}, 3
+    for r in katz.chunk_rows(batch, 0, buckets):
+        rows += [r] if r["kind"] == katz.TEXTS else []
+        asked |= {r["to"]: [r]} if r["kind"] == katz.CELLS else {}
+    answers = [r for b in asked for r in katz.answer_words(b, asked[b], buckets)]
+    n = sum(unpack(r["body"])[0] for r in answers if r["kind"] == katz.SUMS)
+    words = katz.Words(n[: katz.LARGE + 1], int(n[-2]))
+    rows += [r for r in answers if r["kind"] == katz.CELLS]
+    answers = [r for q in katz.ngram_questions(rows, buckets, words, []) for r in katz.answer_ngrams(q["to"], [q], words.d)]
+    parts = [unpack(r["body"]) for r in answers if r["kind"] == katz.PARTS]
+    ids_of = np.unique(np.concatenate([p[0] for p in parts]))
+    sums = [sum(np.bincount(np.searchsorted(ids_of, p[0]), weights=p[k], minlength=len(ids_of)) for p in parts) for k in range(1, len(parts[0]))]
+    level = katz.Level(words.d, [ids_of, *sums])
+    rows += [r | {"kind": katz.ANSWERS + 2} for r in answers if r["kind"] == katz.CELLS]
+
+    def fail(*_):
+        raise AssertionError("not needed to ask")
+
+    monkeypatch.setattr(katz, "context_weights", fail)
+    monkeypatch.setattr(katz.Words, "__call__", fail)
+    assert list(katz.ngram_questions(rows, buckets, words, [level]))
+    with pytest.raises(AssertionError, match="not needed"):
+        list(katz.score_chunk(rows, buckets, words, 5, [level]))
