@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +47,51 @@ def test_long_path_is_one_component(spark):
     assert rows(c.components(e).groupBy("component").count(), "component", "count") == [(0, 501)]
 
 
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_components_in_one_task_and_by_rounds_agree(spark, monkeypatch, kind):
+    r = random.Random(3)
+    pairs = [(r.randrange(-400, 400), r.randrange(-400, 400)) for _ in range(380)] + [(7, 7), (None, 1), (9000, 9001), (9001, 9000)]
+    e = spark.createDataFrame(pairs, "a long, b long").select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))
+    by_rounds = c.components(e, "a", "b", local_edges=0)
+    at_once = c.components(e, "a", "b")
+    assert at_once.dtypes == by_rounds.dtypes == [("node", {"long": "bigint"}.get(kind, kind)), ("component", {"long": "bigint"}.get(kind, kind))]
+    got = rows(at_once, "node", "component")
+    assert len({x for _, x in got}) > 50 and got == rows(by_rounds, "node", "component")
+    edges = c.Work(spark).keep(e.where("a > b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    monkeypatch.setattr(c, "LOCAL_EDGES", edges.count())
+    assert rows(c.components(edges), "node", "component") == rows(c.components(edges, local_edges=edges.count() - 1), "node", "component")
+    assert c.components(e.limit(0), "a", "b").count() == 0
+
+
+def test_components_of_few_edges_are_few_jobs(spark):
+    """A round costs the driver memory for its plans, stages and tasks; a path takes many of them."""
+    e = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    spark.sparkContext.setJobGroup("few", "few")
+    try:
+        assert rows(c.components(e).groupBy("component").count(), "component", "count") == [(0, 301)]
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) <= 10
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+
+
+def test_smallest_nodes():
+    r = random.Random(5)
+    for n in (0, 1, 2, 10, 60, 300):
+        pairs = [(r.randrange(200), r.randrange(200)) for _ in range(n)]
+        near = {x: {x} for p in pairs for x in p}
+        for x, y in pairs:
+            if near[x] is not near[y]:
+                near[x] |= near[y]
+                for z in near[x]:
+                    near[z] = near[x]
+        u, v = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        ids, least = c.smallest_nodes(u, v)
+        assert dict(zip(ids.tolist(), least.tolist(), strict=True)) == {x: min(own) for x, own in near.items()}
+    order = np.random.default_rng(1).permutation(100_000)
+    ids, least = c.smallest_nodes(order[:-1], order[1:])
+    assert len(ids) == 100_000 and not least.any()
+
+
 def test_distances(spark):
     e, n = graph(spark, TOY)
     d = {(r["i"], r["j"]): (r["d"], r["pred"]) for r in c.distance_matrix(e, n).collect()}

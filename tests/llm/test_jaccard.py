@@ -5,6 +5,7 @@ import pytest
 
 from dartline.llm import jaccard
 from dartline.llm.common import words_of
+from dartline.operators import connectivity
 from tests.llm.fixtures import awkward, empty
 
 
@@ -71,6 +72,11 @@ def test_large_groups_equal_brute_force(spark, block):
     check(spark.createDataFrame(near_copies(40), "doc_id long, text string").repartition(3), block=block)
 
 
+def test_large_groups_by_rounds_of_components(spark, monkeypatch):
+    monkeypatch.setattr(connectivity, "LOCAL_EDGES", 0)
+    check(spark.createDataFrame(near_copies(20), "doc_id long, text string").repartition(3), block=300)
+
+
 def test_empty_table(spark):
     assert jaccard.near_groups(empty(spark)).collect() == []
 
